@@ -1,0 +1,4 @@
+"""Intentionally empty: every input of the workload is a static, dated extract.
+
+No operator of the inventory keeps streaming state, so none is offered here.
+"""
