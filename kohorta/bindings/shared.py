@@ -21,7 +21,7 @@ def urgent_dates(t) -> DataFrame:
     """One row per customer: its first three distinct urgent order dates. The distinct dates of a
     customer are bounded by the calendar."""
     days = order_days(t).where("o_orderpriority = '1-URGENT'")
-    dates = days.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderdate")).alias("ds"))
+    dates = days.groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderdate")).alias("ds"))
     return dates.select("o_custkey", *[F.get("ds", F.lit(i)).alias(d) for i, d in enumerate(EVENT_DATES)])
 
 

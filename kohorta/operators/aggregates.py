@@ -113,7 +113,7 @@ def collapse_unique(df: DataFrame, keys: Sequence[str], value: str, order: str,
     """Distinct values in first-seen order as one text. Duplicates go before anything is collected,
     so a key holds its vocabulary only."""
     seen = df.groupBy(*keys, value).agg(F.min(order).alias("__at"))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("__at"), F.col(value).alias("v"))))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("__at"), F.col(value).alias("v"))))
     return seen.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda p: p["v"]), ", ").alias(out))
 
 

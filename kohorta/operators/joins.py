@@ -41,12 +41,11 @@ def within_after(events: DataFrame, anchors: DataFrame, patient: str, date: str,
 def ordered_pairs(names: DataFrame, column: str, right_names: DataFrame | None = None) -> DataFrame:
     """All pairs a < b of a dictionary of names, for instance feature names.
 
-    The right-hand names travel as one sorted array per row of the left side, so each name
-    expands only into the names after it.
+    The dictionary travels as one array and is expanded beside each name in the same task.
     """
-    right = (right_names or names).agg(F.array_sort(F.collect_set(column)).alias("r"))
-    later = F.filter(right.select("r").scalar(), lambda b: b > F.col(column))
-    return names.select(F.col(column).alias("a"), F.explode(later).alias("b"))
+    right = (right_names or names).agg(F.sort_array(F.collect_set(column)).alias("r"))
+    listed = names.select(F.col(column).alias("a"), right.select("r").scalar().alias("r"))
+    return listed.select("a", F.explode("r").alias("b")).where("a < b")
 
 
 def join_list_column(left: DataFrame, right: DataFrame, list_column: str, key: str) -> DataFrame:

@@ -51,7 +51,7 @@ def with_positions(tokens: DataFrame, keys: Sequence[str], order: Sequence[str])
 
 def _chunked(tokens: DataFrame, keys: Sequence[str], rules: Rules, size: int) -> DataFrame:
     """One row per chunk: its tokens with the tests already made, plus a look-ahead from the next."""
-    home = F.floor(F.col("pos") / size)
+    home = F.expr(f"pos div {size}")
     ahead = (home > 0) & (F.col("pos") % size < rules.reach)
     value = F.col("value")
     token = F.struct(
@@ -60,7 +60,7 @@ def _chunked(tokens: DataFrame, keys: Sequence[str], rules: Rules, size: int) ->
         ((F.length(value) > rules.treatment_text_longer_than) & ~is_number(value)).alias("text"))
     placed = tokens.select(*keys, F.explode(
         F.when(ahead, F.array(home, home - 1)).otherwise(F.array(home))).alias("chunk"), token.alias("t"))
-    chunks = placed.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    chunks = placed.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     own = F.least(F.size("ts"), F.lit(size))
     margin = 0 if rules.allow_final else 1
 
@@ -103,8 +103,8 @@ def _entries(chunks: DataFrame, keys: Sequence[str], last_chunk: int, reach: int
                            F.array(*[_walk(F.lit(s)) for s in range(reach)]).alias("f"))
     level, levels = materialize(tables), []
     while last_chunk > 0:
-        kids = level.groupBy(*keys, F.floor(F.col("node") / fan).alias("parent")).agg(
-            F.array_sort(F.collect_list(F.struct("node", "f"))).alias("kids"))
+        kids = level.groupBy(*keys, F.expr(f"node div {fan}").alias("parent")).agg(
+            F.sort_array(F.collect_list(F.struct("node", "f"))).alias("kids"))
         kids = materialize(kids.withColumn("f", F.array(*[
             F.aggregate("kids", _start(s), lambda acc, k: _then(acc, k["f"])) for s in range(reach)])))
         levels.append(kids)

@@ -68,14 +68,13 @@ def read_lines(spark: SparkSession, path: str | list[str], skip: int = 0,
                encoding: str = "UTF-8") -> DataFrame:
     """Lines in any encoding with their place in the file: order by (block_start, line_no).
 
-    Files are split and read in parallel; only the first block of a file drops its header lines.
+    Files are split and read in parallel; only the first block of a file drops its header lines. The
+    text source keeps the bytes of a line as they are, so they are decoded here.
     """
-    raw = (spark.read.schema("line string").option("encoding", encoding)
-           .option("sep", "\u0001").option("quote", "").option("escape", "")
-           .option("maxCharsPerColumn", "-1").csv(path))
-    placed = raw.select(F.col("_metadata.file_path").alias("file"),
-                        F.col("_metadata.file_block_start").alias("block_start"),
-                        F.coalesce("line", F.lit("")).alias("line"))
+    line = F.col("value") if encoding.upper() == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+    placed = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"),
+        line.alias("line"))
     return placed.mapInArrow(_drop_head(skip), LINES_SCHEMA)
 
 
