@@ -113,8 +113,8 @@ def six_sql(columns, clip, source, keys="user_id", order="day"):
     out = []
     for c in columns:
         low, high = (f"case when min({c}) is not null then least(0.0, min({c})) end", f"case when max({c}) is not null then greatest(0.0, max({c})) end") if clip else (f"min({c})", f"max({c})")
-        out.append(f"{low} as {c}_min, {high} as {c}_max, round(avg({c}), 8) as {c}_mean, round(median({c}), 8) as {c}_median, "
-                   f"arg_max({c}, {order}) filter (where {c} is not null) as {c}_lastKnown, round(stddev_samp({c}), 8) as {c}_stdev")
+        out.append(f"{low} as {c}_min, {high} as {c}_max, avg({c}) as {c}_mean, median({c}) as {c}_median, "
+                   f"arg_max({c}, {order}) filter (where {c} is not null) as {c}_lastKnown, stddev_samp({c}) as {c}_stdev")
     return f"select {keys}, {', '.join(out)} from {source} group by {keys}"
 
 

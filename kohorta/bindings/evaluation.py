@@ -143,17 +143,17 @@ def roc_points(t):
     return out.withColumn("cutoff", F.when(F.col("cutoff") < float("inf"), F.col("cutoff")))
 
 
-@query("finite_points", f"with {ROC_SQL}, p as (select model, run, fpr, tpr, round(tpr / nullif(fpr, 0), 8) as ratio from points) select model, run, round(fpr, 8) as fpr, round(tpr, 8) as tpr, ratio from p where ratio is not null")
+@query("finite_points", f"with {ROC_SQL}, p as (select model, run, fpr, tpr, round(tpr / nullif(fpr, 0), 7) as ratio from points) select model, run, round(fpr, 7) as fpr, round(tpr, 7) as tpr, ratio from p where ratio is not null")
 def finite_points(t):
     out = ev.roc_points(scores(t), RUNS, "score", "label").drop("cutoff")
     ratio = F.when(F.col("fpr") == 0, F.lit(float("inf"))).otherwise(F.col("tpr") / F.when(F.col("fpr") != 0, F.col("fpr")))
-    return r(ev.finite_points(out.withColumn("ratio", ratio), ["fpr", "tpr", "ratio"]))
+    return r(ev.finite_points(out.withColumn("ratio", ratio), ["fpr", "tpr", "ratio"]), 7)
 
 
-@query("curve_interpolate", f"with {ROC_SQL}, {_curve_sql(101)} select model, run, grid_no, round(fpr, 8) as fpr, round(tpr, 8) as tpr, case when isfinite(cutoff) then round(cutoff, 8) end as cutoff from curves")
+@query("curve_interpolate", f"with {ROC_SQL}, {_curve_sql(101)} select model, run, grid_no, round(fpr, 9) as fpr, round(tpr, 9) as tpr, case when isfinite(cutoff) then round(cutoff, 9) end as cutoff from curves")
 def curve_interpolate(t):
     out = ev.curve_interpolate(points(t), RUNS, "fpr", ["tpr", "cutoff"], 101)
-    return r(out.withColumn("cutoff", ev.finite_or_null(F.col("cutoff"))))
+    return r(out.withColumn("cutoff", ev.finite_or_null(F.col("cutoff"))), 9)
 
 
 @query("roc_vertical_average", f"""with {ROC_SQL}, {_curve_sql('(select max(c) from (select count(*) as c from points group by model, run))')},

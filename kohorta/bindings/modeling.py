@@ -1 +1,169 @@
-"""Bindings."""
+"""Bindings of screening, imputation and classification. Iterative fits have no SQL beside them
+unless their optimum is unique and cheap to reach."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kohorta.bindings.evaluation import r
+from kohorta.bindings.pipelines import feature_matrix
+from kohorta.bindings.registry import query
+from kohorta.bindings.shared import GAPPED_SQL, TERMS_SQL, gapped_part, term_table
+from kohorta.operators import impute, models, screen
+from kohorta.plans import modeling
+from kohorta.session import materialize
+
+DIMS = [f"d{i}" for i in range(64)]
+
+
+def vectors(t):
+    """Embeddings as a labelled feature matrix."""
+    return t.embeddings.select("vec_id", (F.col("label") < 5).alias("mk"), *[
+        F.get("embedding", F.lit(i)).cast("double").alias(d) for i, d in enumerate(DIMS)])
+
+
+def _newton_sql(steps, start="term, 0.0::double as b0, 0.0::double as b1"):
+    """Newton steps of a one-feature logistic regression per term, unrolled."""
+    parts = [f"fit0 as materialized (select distinct {start} from data)"]
+    for i in range(1, steps + 1):
+        parts.append(f"""fit{i} as materialized (select term, b0 + (s2 * g0 - s1 * g1) / (s0 * s2 - s1 * s1) as b0, b1 + (s0 * g1 - s1 * g0) / (s0 * s2 - s1 * s1) as b1,
+  sqrt(s0 / (s0 * s2 - s1 * s1)) as error, n from (select term, b0, b1, sum(w) as s0, sum(w * x) as s1, sum(w * x * x) as s2, sum(y - p) as g0, sum((y - p) * x) as g1, count(*) as n
+  from (select *, p * (1 - p) as w from (select term, x, y, b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) as p from data join fit{i - 1} using (term))) group by term, b0, b1))""")
+    return ", ".join(parts) + f" select term, round(b1, 6) as estimate, round(error, 6) as std_error, n from fit{steps}"
+
+
+LONG_SQL = "dims as (select vec_id, (label < 5)::int as y, unnest(range(64)) as i, unnest(embedding)::double as v from embeddings)"
+
+
+@query("screen_univariate", f"with {LONG_SQL}, data as (select 'd' || i as term, v as x, y from dims), {_newton_sql(9)}")
+def screen_univariate(t):
+    out = screen.screen_univariate(vectors(t), "mk", DIMS)
+    return out.select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"), "n")
+
+
+@query("screen_interactions", f"""with {LONG_SQL}, data as (select 'd' || a.i || ':d' || b.i as term, 10 * a.v * b.v as x, a.y from dims a join dims b on a.vec_id = b.vec_id and ('d' || a.i) < ('d' || b.i) where b.i < 12),
+{_newton_sql(9).replace('round(b1, 6)', 'round(b1 * 10, 5)').replace('round(error, 6)', 'round(error * 10, 5)')}""")
+def screen_interactions(t):
+    out = screen.screen_interactions(vectors(t), "mk", DIMS, DIMS[:12])
+    return out.select("term", F.round("estimate", 5).alias("estimate"), F.round("std_error", 5).alias("std_error"), "n")
+
+
+@query("glm_multi")
+def glm_multi(t):
+    return models.glm_multi(vectors(t), "mk", DIMS)
+
+
+@query("rank_terms", f"with {TERMS_SQL} select term, estimate, p_value, contains(term, ':') as interaction from terms qualify row_number() over (partition by contains(term, ':') order by p_value, term) <= 29")
+def rank_terms(t):
+    terms = term_table(t)
+    return screen.rank_terms(terms.where("not term like '%:%'"), terms.where("term like '%:%'")).select(
+        "term", "estimate", "p_value", "interaction")
+
+
+@query("select_features", f"""with {TERMS_SQL}, ranked as (select term from terms qualify row_number() over (partition by contains(term, ':') order by p_value, term) <= 29),
+names as (select distinct unnest(string_split(term, ':')) as feature from ranked)
+select feature from names where not regexp_matches(feature, 'cnt_D1.*') and not regexp_matches(feature, 'Age_of_onset_D2')""")
+def select_features(t):
+    terms = term_table(t)
+    ranked = screen.rank_terms(terms.where("not term like '%:%'"), terms.where("term like '%:%'"))
+    return screen.select_features(ranked, ["cnt_D1.*", "Age_of_onset_D2"])
+
+
+@query("impute_mean", f"""with {GAPPED_SQL}, means as (select avg(p_size) as s, avg(p_retailprice) as p from gapped)
+select p_partkey, round(coalesce(p_size, s), 8) as p_size, round(coalesce(p_retailprice, p), 8) as p_retailprice from gapped, means where p_type is not null""")
+def impute_mean(t):
+    df = gapped_part(t).select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice", "p_type")
+    return r(impute.impute_mean(df, ["p_size", "p_retailprice"], "p_type").drop("p_type"))
+
+
+def holed_vectors(t, columns):
+    """Vectors with a hole where a value is far out, so holes depend on the data."""
+    full = vectors(t).select("vec_id", "mk", *columns)
+    return full.withColumns({c: F.when(F.col(c) < 0.15, F.col(c)) for c in columns[:3]})
+
+
+PMM_COLUMNS = DIMS[:8]
+
+
+@query("impute_pmm")
+def impute_pmm(t):
+    return impute.impute_pmm(holed_vectors(t, PMM_COLUMNS), "vec_id", PMM_COLUMNS, sweeps=2)
+
+
+@query("design_matrix", "select vec_id, label < 5 as mk, embedding[1]::double as d0, embedding[2]::double as d1, round(embedding[1]::double * embedding[2]::double, 12) as \"d0:d1\" from embeddings")
+def design_matrix(t):
+    out = models.design_matrix(vectors(t), ["d0", "d1", "d0:d1"], ["vec_id", "mk"])
+    return out.withColumn("d0:d1", F.round("d0:d1", 12))
+
+
+TERMS = [*DIMS[:10], "d0:d1", "d2:d5"]
+
+
+def assembled(t, terms):
+    return materialize(models.assemble(models.design_matrix(vectors(t), terms, ["vec_id", "mk"]), terms, "vec_id", "mk"))
+
+
+def _scores(model, rows):
+    return models._score(model, rows, type(model).__name__).withColumn("predicted", F.round("predicted", 6))
+
+
+@query("lasso_cv")
+def lasso_cv(t):
+    rows = assembled(t, TERMS)
+    return _scores(models.lasso_cv(rows, len(TERMS), folds=5, path=8), rows)
+
+
+@query("rf_balanced")
+def rf_balanced(t):
+    rows = assembled(t, DIMS)
+    return _scores(models.rf_balanced(rows, len(DIMS)), rows)
+
+
+@query("permutation_importance")
+def permutation_importance(t):
+    rows = models.with_folds(assembled(t, DIMS), "patient", 4, seed=0)
+    forest = models.rf_balanced(rows.where("fold <> 0"), len(DIMS))
+    return models.permutation_importance(forest, rows.where("fold = 0"), DIMS)
+
+
+QUICK = {"folds": 3, "inner_folds": 3, "path": 4}
+
+
+@query("repeated_oof")
+def repeated_oof(t):
+    table, _, _ = models.repeated_oof(vectors(t), "vec_id", "mk", TERMS, runs=2, trees=20, **QUICK)
+    return table
+
+
+@query("label_permutation_null")
+def label_permutation_null(t):
+    return models.label_permutation_null(vectors(t), "vec_id", "mk", TERMS, runs=2, **QUICK)
+
+
+@query("permute_labels", "select label < 5 as mk, count(*) as cnt from embeddings group by 1")
+def permute_labels(t):
+    dealt = models.permute_labels(vectors(t).select("vec_id", "mk"), "vec_id", "mk", seed=5)
+    return dealt.groupBy("mk").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def matrix(t):
+    return materialize(feature_matrix(t))
+
+
+@query("screen_and_select")
+def screen_and_select(t):
+    done = modeling.screen_and_select(matrix(t), "user_id", "mk")
+    return done.ranked
+
+
+@query("model_evaluation")
+def model_evaluation(t):
+    names = [f"{k}_{s}" for k in ("click", "error", "signup", "view") for s in ("mean", "stdev")]
+    terms = [*names, "click_mean:error_mean", "trend_abs_view_max"]
+    done = modeling.model_evaluation(matrix(t), "user_id", "mk", terms, runs=2, sweeps=1, trees=20, **QUICK)
+    reports = {"metrics": done.metrics.select("model", "run", "auc"),
+               "curve": done.curve.select("model", F.col("grid_no").alias("run"), F.col("tpr").alias("auc"))}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("report"), "*") for n, df in reports.items()])

@@ -67,9 +67,11 @@ STAT_NAMES = ("min", "max", "mean", "median", "lastKnown", "stdev")  # fixed val
 
 
 def six_stat_summary(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str],
-                     clip: bool = False, splits: int | None = None) -> DataFrame:
+                     clip: bool | Sequence[str] = False, splits: int | None = None) -> DataFrame:
     """min, max, mean, median, last known value and sample deviation of every feature per key.
 
+    ``clip`` (all columns, or the named ones) lets min and max include 0.
+
     One aggregate with map-side combining. Only the exact median keeps a key's values together;
     where one key is too large for a task the medians are taken in long form by rank.
     """
@@ -79,9 +81,10 @@ def six_stat_summary(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     for c in columns:
         col = F.col(f"`{c}`").cast("double")
         low, high = F.min(col), F.max(col)
+        clipped = clip if isinstance(clip, bool) else c in clip
         stats = {
-            "min": at_most_zero(low) if clip else low,
-            "max": at_least_zero(high) if clip else high,
+            "min": at_most_zero(low) if clipped else low,
+            "max": at_least_zero(high) if clipped else high,
             "mean": F.avg(col),
             "median": F.percentile(col, 0.5),
             "lastKnown": F.max_by(col, F.when(col.isNotNull(), F.struct(*order))),
@@ -103,10 +106,14 @@ def six_stat_summary(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
 def merge_summaries(clipped: DataFrame, plain: DataFrame, on: Sequence[str], label: str,
                     constants: Sequence[str] = ()) -> DataFrame:
     """Join the two summaries, keep one statistic of per-patient constants, drop unlabelled rows."""
-    out = clipped.join(plain, list(on))
+    return keep_constants(clipped.join(plain, list(on)), constants).where(F.col(label).isNotNull())
+
+
+def keep_constants(summary: DataFrame, constants: Sequence[str]) -> DataFrame:
+    """One column instead of six for values that do not change within a patient."""
     for c in constants:
-        out = out.withColumnRenamed(f"{c}_min", c).drop(*[f"{c}_{s}" for s in STAT_NAMES if s != "min"])
-    return out.where(F.col(label).isNotNull())
+        summary = summary.withColumnRenamed(f"{c}_min", c).drop(*[f"{c}_{s}" for s in STAT_NAMES if s != "min"])
+    return summary
 
 
 def collapse_unique(df: DataFrame, keys: Sequence[str], value: str, order: str, out: str) -> DataFrame:
