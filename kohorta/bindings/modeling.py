@@ -113,7 +113,7 @@ def _scores(model, rows):
 @query("lasso_cv")
 def lasso_cv(t):
     rows = assembled(t, TERMS)
-    return _scores(models.lasso_cv(rows, len(TERMS), folds=5, path=8), rows)
+    return _scores(models.lasso_cv(rows, len(TERMS), folds=3, path=6), rows)
 
 
 @query("rf_balanced")
@@ -129,7 +129,7 @@ def permutation_importance(t):
     return models.permutation_importance(forest, rows.where("fold = 0"), DIMS)
 
 
-QUICK = {"folds": 3, "inner_folds": 3, "path": 4}
+QUICK = {"folds": 2, "inner_folds": 2, "path": 3}
 
 
 @query("repeated_oof")
@@ -161,8 +161,7 @@ def screen_and_select(t):
 
 @query("model_evaluation")
 def model_evaluation(t):
-    names = [f"{k}_{s}" for k in ("click", "error", "signup", "view") for s in ("mean", "stdev")]
-    terms = [*names, "click_mean:error_mean", "trend_abs_view_max"]
+    terms = ["click_mean", "error_mean", "active_max", "share_F_mean", "balance", "click_mean:error_mean"]
     done = modeling.model_evaluation(matrix(t), "user_id", "mk", terms, runs=2, sweeps=1, trees=20, **QUICK)
     reports = {"metrics": done.metrics.select("model", "run", "auc"),
                "curve": done.curve.select("model", F.col("grid_no").alias("run"), F.col("tpr").alias("auc"))}

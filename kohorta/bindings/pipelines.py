@@ -178,8 +178,8 @@ def medication_fill(t):
 
 
 @query("medication_classes", f"""with {MEDICATION_SQL},
-kept as (select Pat_Nr, Klasse, min(datediff('day', date '1970-01-01', Datum) * 10 + slot) as at0, min(strftime(Datum, '%Y%m%d') || slot || Klasse) as at from filled join urgent on Pat_Nr = o_custkey where Klasse <> '' and (d3 is null or Datum < d3) group by 1, 2)
-select Pat_Nr as "Pat_Nr", string_agg(Klasse, ', ' order by at) as "Wirkstoffe", max((Klasse = 'CE_Hemmer')::int) as "CE_Hemmer", max((Klasse = 'Corticoid')::int) as "Corticoid", max((Klasse = 'Immunsupressivum')::int) as "Immunsupressivum" from kept group by 1""")
+kept as (select Pat_Nr, Klasse, min(strftime(Datum, '%Y%m%d') || slot || Klasse) as first_at from filled join urgent on Pat_Nr = o_custkey where Klasse <> '' and (d3 is null or Datum < d3) group by 1, 2)
+select Pat_Nr as "Pat_Nr", string_agg(Klasse, ', ' order by first_at) as "Wirkstoffe", max((Klasse = 'CE_Hemmer')::int) as "CE_Hemmer", max((Klasse = 'Corticoid')::int) as "Corticoid", max((Klasse = 'Immunsupressivum')::int) as "Immunsupressivum" from kept group by 1""")
 def medication_classes(t):
     rows = me.medication_rows(medication_wide(t), ["Pat_Nr", "Datum"], [1, 2], ["Drug", "Klasse"])
     ordered = rows.withColumn("seen", F.concat(F.date_format("Datum", "yyyyMMdd"), F.col("slot").cast("string")))

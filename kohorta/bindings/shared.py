@@ -42,7 +42,7 @@ measurements as (select event_id, user_id, ts::date as day, event_type, value fr
 """
 
 # A patient of the event stream has the event when a purchase is worth more than this.
-EVENT_VALUE = 50.0
+EVENT_VALUE = 150.0
 
 
 def user_events(t) -> DataFrame:
@@ -55,7 +55,7 @@ def user_events(t) -> DataFrame:
 USER_EVENTS_SQL = """
 user_events as (
   select user_id, event_day, event_day is not null as mk
-  from (select user_id, min(case when event_type = 'purchase' and value > 50.0 then ts::date end) as event_day
+  from (select user_id, min(case when event_type = 'purchase' and value > 150.0 then ts::date end) as event_day
         from events group by user_id))
 """
 
