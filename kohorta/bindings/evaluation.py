@@ -11,7 +11,7 @@ from kohorta.operators.aggregates import histogram_counts, row_null_count
 
 
 def r(df, digits=8):
-    return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+    return df.selectExpr(*[f"round(`{c}`, {digits}) as `{c}`" if k == "double" else f"`{c}`" for c, k in df.dtypes])
 
 
 RUNS = ["model", "run"]

@@ -15,8 +15,8 @@ from kohorta.plans import features as fe
 from kohorta.plans import medication as me
 from kohorta.plans.measurements import measurement_table
 from kohorta.operators.aggregates import STAT_NAMES
-from kohorta.operators.reshape import pivot_share
 from kohorta.operators.temporal import active_in_window, encounter_day_count
+from kohorta.session import materialize
 
 
 # ---- cohort -------------------------------------------------------------------------------------
@@ -294,18 +294,21 @@ CONSTANTS = ["encounter_days", "balance"]
 
 
 def dated(t):
-    """The dated feature matrix of the event users: values carried forward, trends, activity, shares."""
-    values = measurements(t)
-    days = values.select("user_id", "day")
-    shares = t.orders.groupBy(F.col("o_custkey").alias("user_id"), "o_orderstatus").agg(F.count(F.lit(1)).alias("cnt"))
-    shares = pivot_share(fe.ratio_to_total(shares, "cnt", ["user_id"], "share"), ["user_id"], "o_orderstatus", "share", STATUS_SHARES)
-    shares = shares.withColumnsRenamed({s: f"share_{s}" for s in STATUS_SHARES})
+    """The dated feature matrix of the event users: values carried forward, trends, activity, shares.
+
+    The raw events are read once for the user-day matrix, which is materialized: everything after it
+    works at user-day grain. A user's history is then bounded by the calendar and never split.
+    """
+    matrix = materialize(fe.values_and_trends(measurements(t), ["user_id"], "event_type", ["day", "event_id"], "day",
+                                              "value", ["user_id", "day"], EVENT_TYPES))
+    days = matrix.select("user_id", "day")
+    shares = t.orders.groupBy(F.col("o_custkey").alias("user_id")).agg(*[
+        F.expr(f"avg(if(o_orderstatus = '{s}', 1, 0)) as share_{s}") for s in STATUS_SHARES])
     accounts = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("balance"))
-    parts = [(trend_table(t), ["user_id", "day"]), (active_in_window(days, "user_id", "day", "active"), ["user_id", "day"]),
+    parts = [(active_in_window(days, "user_id", "day", "active"), ["user_id", "day"]),
              (encounter_day_count(days, "user_id", "day", "encounter_days"), ["user_id"]), (shares, ["user_id"]),
              (accounts, ["user_id"]), (user_events(t), ["user_id"])]
-    # One row per user and day: a user's history is bounded by the calendar, so it is never split.
-    return fe.dated_features(values, ["user_id"], ["user_id", "day"], "event_type", "value", "day", EVENT_TYPES, parts, splits=1)
+    return fe.dated_features(matrix, ["user_id"], ["day"], EVENT_TYPES, parts, splits=1)
 
 
 DATED_SQL = f"""{TRENDS_SQL}, {USER_EVENTS_SQL},

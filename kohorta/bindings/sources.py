@@ -135,11 +135,16 @@ def token_stream(t):
     return head.unionByName(body)
 
 
+PIECE_TOKENS, HEAD_TOKENS = 16, 6
+
+
 def numbered_tokens(t):
-    """Tokens with dense positions, staged like any raw extract before it is cut into records."""
+    """Tokens with dense positions, staged like any raw extract before it is cut into records. Every
+    piece of the stream has a fixed number of tokens, so the position is arithmetic."""
+    pos = F.when(F.col("piece") == 0, F.col("at").cast("bigint")).otherwise(
+        HEAD_TOKENS + (F.col("piece") - 1) * PIECE_TOKENS + F.col("at"))
     path = scratch_path(t.spark, "tokens")
-    return stage(t.spark, path, lambda: with_positions(token_stream(t), ["patient", "encounter"], ["piece", "at"]).select(
-        "patient", "encounter", "pos", "value"))
+    return stage(t.spark, path, lambda: token_stream(t).select("patient", "encounter", pos.alias("pos"), "value"))
 
 
 @query("segment_records", """
@@ -165,7 +170,8 @@ select o_custkey as patient, o_orderkey as encounter,
     case when o_orderstatus = 'F' then 'stat' else 'amb' end, o_orderpriority]) as value
 from orders""")
 def header_attributes_query(t):
-    return header_attributes(numbered_tokens(t), ["patient", "encounter"])
+    placed = with_positions(token_stream(t), ["patient", "encounter"], ["piece", "at"])
+    return header_attributes(placed, ["patient", "encounter"])
 
 
 @query("treatment_records", """

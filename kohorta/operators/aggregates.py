@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kohorta.functions.numeric import at_least_zero, at_most_zero, finite_or_null
 from kohorta.operators.ordered import join_null_safe, quantiles, splits_for
 from kohorta.operators.reshape import unpivot
 
@@ -77,21 +76,23 @@ def six_stat_summary(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     """
     if splits is None:
         splits = splits_for(df.select(*keys), keys)
+    clipped = set(columns) if clip is True else set(clip or ())
+    place = f"`{order[0]}`" if len(order) == 1 else f"struct({', '.join(f'`{o}`' for o in order)})"
     aggs = []
     for c in columns:
-        col = F.col(f"`{c}`").cast("double")
-        low, high = F.min(col), F.max(col)
-        clipped = clip if isinstance(clip, bool) else c in clip
+        x = f"cast(`{c}` as double)"
+        low, high = f"min({x})", f"max({x})"
         stats = {
-            "min": at_most_zero(low) if clipped else low,
-            "max": at_least_zero(high) if clipped else high,
-            "mean": F.avg(col),
-            "median": F.percentile(col, 0.5),
-            "lastKnown": F.max_by(col, F.when(col.isNotNull(), F.struct(*order))),
-            "stdev": F.stddev_samp(col),
+            "min": f"if({low} is null, null, least({low}, 0D))" if c in clipped else low,
+            "max": f"if({high} is null, null, greatest({high}, 0D))" if c in clipped else high,
+            "mean": f"avg({x})",
+            "median": f"percentile({x}, 0.5)",
+            "lastKnown": f"max_by({x}, if(`{c}` is null, null, {place}))",
+            "stdev": f"stddev_samp({x})",
         }
-        aggs += [finite_or_null(stats[s]).alias(f"{c}_{s}") for s in STAT_NAMES
-                 if not (s == "median" and splits > 1)]
+        # NaN sorts above infinity, so one comparison makes both missing
+        aggs += [F.expr(f"if(abs({e}) < double('Infinity'), {e}, null) as `{c}_{s}`")
+                 for s, e in stats.items() if not (s == "median" and splits > 1)]
     out = df.groupBy(*keys).agg(*aggs)
     if splits > 1:
         long = unpivot(df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]),
@@ -99,8 +100,9 @@ def six_stat_summary(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
         middle = quantiles(long, [*keys, "__key"], "__value", {"m": 0.5}, splits)
         wide = middle.groupBy(*keys).pivot("__key", list(columns)).agg(F.max("m"))
         wide = wide.select(*keys, *[F.col(f"`{c}`").alias(f"{c}_median") for c in columns])
-        out = join_null_safe(out, wide, keys, "left")
-    return out.select(*keys, *[F.col(f"`{c}_{s}`") for c in columns for s in STAT_NAMES])
+        out = join_null_safe(out, wide, keys, "left").select(
+            *keys, *[F.col(f"`{c}_{s}`") for c in columns for s in STAT_NAMES])
+    return out
 
 
 def merge_summaries(clipped: DataFrame, plain: DataFrame, on: Sequence[str], label: str,
@@ -111,9 +113,9 @@ def merge_summaries(clipped: DataFrame, plain: DataFrame, on: Sequence[str], lab
 
 def keep_constants(summary: DataFrame, constants: Sequence[str]) -> DataFrame:
     """One column instead of six for values that do not change within a patient."""
-    for c in constants:
-        summary = summary.withColumnRenamed(f"{c}_min", c).drop(*[f"{c}_{s}" for s in STAT_NAMES if s != "min"])
-    return summary
+    kept = {f"{c}_min": c for c in constants}
+    gone = {f"{c}_{s}" for c in constants for s in STAT_NAMES if s != "min"}
+    return summary.selectExpr(*[f"`{c}` as `{kept.get(c, c)}`" for c in summary.columns if c not in gone])
 
 
 def collapse_unique(df: DataFrame, keys: Sequence[str], value: str, order: str, out: str) -> DataFrame:

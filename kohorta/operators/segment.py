@@ -50,7 +50,8 @@ def with_positions(tokens: DataFrame, keys: Sequence[str], order: Sequence[str])
 
 
 def _chunked(tokens: DataFrame, keys: Sequence[str], rules: Rules, size: int) -> DataFrame:
-    """One row per chunk: its tokens with the tests already made, plus a look-ahead from the next."""
+    """One row per chunk: its tokens and a look-ahead from the next chunk, how many are its own, and
+    the places where a record could start, with the record's length."""
     home = F.expr(f"pos div {size}")
     ahead = (home > 0) & (F.col("pos") % size < rules.reach)
     value = F.col("value")
@@ -71,21 +72,19 @@ def _chunked(tokens: DataFrame, keys: Sequence[str], rules: Rules, size: int) ->
                & at(rules.lab_zero_at, "zero") & at(0, "head"))
         treatment = ((i + len(rules.treatment) - 1 + margin < F.size("ts"))
                      & at(rules.treatment_zero_at, "zero") & at(rules.treatment_text_at, "text"))
-        return (F.when(lab, F.lit(len(rules.lab))).when(treatment, F.lit(len(rules.treatment)))
-                .otherwise(F.lit(1)))
+        length = F.when(lab, F.lit(len(rules.lab))).when(treatment, F.lit(len(rules.treatment)))
+        return F.struct(i.alias("i"), length.alias("s"))
 
-    return chunks.withColumn("steps", F.transform(F.sequence(F.lit(0), own - 1), step))
+    starts = F.filter(F.transform(F.sequence(F.lit(0), own - 1), step), lambda c: c["s"].isNotNull())
+    return chunks.withColumns({"own": own, "starts": starts})
 
 
 def _walk(entry: Column) -> Column:
     """Leave offset and record count of a chunk entered at ``entry``."""
     start = F.struct(entry.cast("int").alias("at"), F.lit(0).cast("bigint").alias("n"))
-    indexed = F.transform("steps", lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    moved = F.aggregate(indexed, start, lambda acc, x: F.when(
-        x["i"] == acc["at"],
-        F.struct((acc["at"] + x["s"]).alias("at"), (acc["n"] + F.when(x["s"] > 1, 1).otherwise(0)).alias("n"))
-    ).otherwise(acc))
-    return F.struct((moved["at"] - F.size("steps")).cast("int").alias("at"), moved["n"].alias("n"))
+    moved = F.aggregate("starts", start, lambda acc, c: F.when(
+        c["i"] >= acc["at"], F.struct((c["i"] + c["s"]).alias("at"), (acc["n"] + 1).alias("n"))).otherwise(acc))
+    return F.struct(F.greatest(moved["at"] - F.col("own"), F.lit(0)).cast("int").alias("at"), moved["n"].alias("n"))
 
 
 def _then(acc: Column, table: Column) -> Column:
@@ -136,12 +135,10 @@ def segment_records(tokens: DataFrame, keys: Sequence[str], rules: Rules = Rules
         chunks = chunks.join(entries, [*keys, "chunk"])
     else:
         chunks = chunks.withColumn("entry", _start(0))
-    indexed = F.transform("steps", lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    blank = F.struct(F.col("entry")["at"].alias("at"), F.array().cast("array<struct<s:int,i:int>>").alias("hits"))
-    hits = F.aggregate(indexed, blank, lambda acc, x: F.when(
-        x["i"] == acc["at"],
-        F.struct((acc["at"] + x["s"]).alias("at"),
-                 F.when(x["s"] > 1, F.concat(acc["hits"], F.array(x))).otherwise(acc["hits"]).alias("hits"))
+    blank = F.struct(F.col("entry")["at"].alias("at"), F.array().cast("array<struct<i:int,s:int>>").alias("hits"))
+    hits = F.aggregate("starts", blank, lambda acc, c: F.when(
+        c["i"] >= acc["at"],
+        F.struct((c["i"] + c["s"]).alias("at"), F.concat(acc["hits"], F.array(c)).alias("hits"))
     ).otherwise(acc))["hits"]
     records = chunks.select(*keys, "entry", "ts", F.posexplode(hits).alias("k", "hit"))
     is_lab = F.col("hit.s") == len(rules.lab)

@@ -13,7 +13,7 @@ from kohorta.functions.text import concat_path
 from kohorta.operators.aggregates import keep_constants, ratio_to_total, six_stat_summary
 from kohorta.operators.joins import join_lookup, join_star
 from kohorta.operators.ordered import running_sums
-from kohorta.operators.reshape import pivot_attr, pivot_mean, pivot_multi, pivot_onehot, pivot_share
+from kohorta.operators.reshape import pivot_attr, pivot_multi, pivot_onehot, pivot_share
 from kohorta.operators.temporal import lag_trend, locf
 
 
@@ -54,13 +54,25 @@ def value_trends(values: DataFrame, keys: Sequence[str], key: str, order: Sequen
     return pivot_multi(changed, ids, key, ["trend_abs", "trend"], names)
 
 
-def dated_features(values: DataFrame, patient: Sequence[str], ids: Sequence[str], key: str, value: str, date: str,
-                   names: Sequence[str], parts: Sequence[tuple[DataFrame, Sequence[str]]],
-                   splits: int | None = None) -> DataFrame:
+def values_and_trends(values: DataFrame, keys: Sequence[str], key: str, order: Sequence[str], date: str, value: str,
+                      ids: Sequence[str], names: Sequence[str], splits: int | None = None) -> DataFrame:
+    """Mean value, change and change per day of every key from one pass over the measurements.
+
+    The same columns as ``pivot_mean`` left-joined with ``value_trends``: trends of absent keys are 0,
+    and all trends are missing where no row of the group has one.
+    """
+    changed = lag_trend(values, [*keys, key], order, date, value, splits, keep=True)
+    cells = [F.expr(f"avg(if(`{key}` = '{n}', `{value}`, null)) as `{n}`") for n in names]
+    for m in ("trend_abs", "trend"):
+        cells += [F.expr(f"if(count(trend_abs) = 0, null, coalesce(avg(if(`{key}` = '{n}', {m}, null)), 0D)) as `{m}_{n}`")
+                  for n in names]
+    return changed.groupBy(*ids).agg(*cells)
+
+
+def dated_features(matrix: DataFrame, patient: Sequence[str], order: Sequence[str], names: Sequence[str],
+                   parts: Sequence[tuple[DataFrame, Sequence[str]]], splits: int | None = None) -> DataFrame:
     """Values per key carried forward, joined with feature tables of any grain."""
-    matrix = pivot_mean(values, ids, key, value, names)
-    filled = locf(matrix, patient, [date, *[i for i in ids if i != date and i not in patient]], names, splits)
-    return join_star(filled, parts)
+    return join_star(locf(matrix, patient, order, names, splits), parts)
 
 
 def patient_features(dated: DataFrame, keys: Sequence[str], date: str, event: str, clipped: Sequence[str],
