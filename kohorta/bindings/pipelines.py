@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from kohorta.bindings.aggregates import six_sql
@@ -90,6 +92,19 @@ def onset_table(t):
     return co.onset_table(onset_members(t))
 
 
+@query("age_table", f"""with {COHORT_SQL}, raw as (select Pat_Nr, (Pat_Nr % 2)::double as sex, floor(datediff('day', Geburtsdatum::date, date '2021-11-23') / 365) / 100 as age,
+  (2005.0 + Pat_Nr % 9 - year(Geburtsdatum::date)) / 100 as onset from patients)
+select Pat_Nr as "Patient_ID", case when Pat_Nr % 7 = 0 then 1.0 else sex end as "Geschlecht", round(case when Pat_Nr % 7 = 0 then 0.5 else age end, 8) as "Age",
+  round(case when Pat_Nr % 7 = 0 then 0.25 else onset end, 8) as "Age_of_onset" from raw""")
+def age_table(t):
+    members = patients(t).select(
+        F.col("Pat_Nr").alias("Patient_ID"), F.when(F.col("Pat_Nr") % 2 == 1, "weiblich").otherwise("männlich").alias("Geschlecht"),
+        "Geburtsdatum", (2005 + F.col("Pat_Nr") % 9).cast("string").alias("Diagnose_Jahr"))
+    corrected = patients(t).where("Pat_Nr % 7 = 0").select(
+        F.col("Pat_Nr").alias("Patient_ID"), F.lit(1.0).alias("Geschlecht"), F.lit(0.5).alias("Age"), F.lit(0.25).alias("Age_of_onset"))
+    return r(co.age_table(members, dt.date(2021, 11, 23), corrected))
+
+
 @query("onset_decades", f"""with {ONSET_SQL}, g as (select (floor(onset_age / 10) * 10)::bigint as onset_decade, Gender, grp, count(*) as cnt from members group by 1, 2, 3)
 select onset_decade, Gender as "Gender", grp, cnt, round(cnt / sum(cnt) over (partition by onset_decade), 8) as cnt_p from g""")
 def onset_decades(t):

@@ -54,9 +54,11 @@ def join_list_column(left: DataFrame, right: DataFrame, list_column: str, key: s
         c for c in right.columns if c != list_column]), key)
 
 
-def join_star(base: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
-    """Left-join feature tables of different grain; each must be unique in its keys, so the base
-    never fans out."""
+def join_star(base: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]], verify: bool = False) -> DataFrame:
+    """Left-join feature tables of different grain. Each must be unique in its keys, so the base
+    never fans out; ``verify`` counts first and refuses a part that is not."""
     for part, on in parts:
+        if verify and not part.groupBy(*on).count().where("count > 1").isEmpty():
+            raise ValueError(f"feature table is not unique in {list(on)}")
         base = base.join(part, on=list(on), how="left")
     return base

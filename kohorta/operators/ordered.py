@@ -2,8 +2,8 @@
 
 A window over ``partitionBy(key)`` sorts a whole key in one task. Each function here first
 counts rows per key (a pre-aggregated pass that reads only the key columns). When the
-heaviest key fits a task the plain window runs. Otherwise the leading order column is cut
-into ranges of about equal depth, the window runs per (key, range), and one summary row per
+heaviest key fits a task the plain window runs. Otherwise the order is cut into ranges of about
+equal depth over the whole table, the window runs per (key, range), and one summary row per
 (key, range) carries the state across range borders.
 """
 
@@ -20,6 +20,7 @@ from kohorta.session import materialize
 
 ROWS_PER_TASK = 4_000_000
 RANGE = "__range"
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def heaviest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -47,24 +48,46 @@ def as_number(df: DataFrame, name: str) -> Column:
         number = F.col(name).cast("timestamp").cast("double")
     elif kind == "date":
         number = F.unix_date(name).cast("double")
-    elif kind.startswith("decimal") or kind in (
-        "tinyint", "smallint", "int", "bigint", "float", "double"):
+    elif kind.startswith("decimal") or kind in NUMERIC:
         number = F.col(name).cast("double")
     else:
         raise ValueError(f"leading order column {name} must be numeric, date or timestamp, not {kind}")
     return F.coalesce(number, F.lit(float("-inf")))
 
 
-def add_ranges(df: DataFrame, lead: str, splits: int) -> DataFrame:
-    probe = df.select(as_number(df, lead).alias("x")).where("x > double('-Infinity') and not isnan(x)")
+def _edges(numbers: DataFrame, splits: int) -> list[float]:
+    """Equal-depth edges of column x; a value that is repeated here holds more than one share."""
+    probe = numbers.where("x > double('-Infinity') and not isnan(x)")
     shares = [i / splits for i in range(1, splits)]
     edges = probe.agg(F.percentile_approx("x", shares, max(10_000, 20 * splits))).first()[0] or []
-    inner = sorted({e for e in edges if math.isfinite(e)})
+    return [e for e in edges if math.isfinite(e)]
+
+
+def _cut(df: DataFrame, number: Column, inner: list[float], out: str) -> DataFrame:
     if not inner:
-        return df.withColumn(RANGE, F.lit(0.0))
-    cut = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="__x",
-                     outputCol=RANGE, handleInvalid="keep")
-    return cut.transform(df.withColumn("__x", as_number(df, lead))).drop("__x")
+        return df.withColumn(out, F.lit(0.0))
+    cut = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="__x", outputCol=out,
+                     handleInvalid="keep")
+    return cut.transform(df.withColumn("__x", number)).drop("__x")
+
+
+def add_ranges(df: DataFrame, order: Sequence[str], splits: int) -> DataFrame:
+    """A range number that grows with the order. A lead value that fills whole ranges by itself gets
+    a range of its own, which the second order column cuts further."""
+    lead = as_number(df, order[0])
+    edges = _edges(df.select(lead.alias("x")), splits)
+    hot = sorted({a for a, b in zip(edges, edges[1:]) if a == b})
+    inner = sorted({*edges, *[math.nextafter(v, math.inf) for v in hot]})
+    ranged = _cut(df, lead, inner, RANGE)
+    if not hot or len(order) < 2 or dict(df.dtypes)[order[1]] not in NUMERIC and not dict(df.dtypes)[
+            order[1]].startswith(("decimal", "timestamp", "date")):
+        return ranged
+    tied = F.col(RANGE).isin([float(inner.index(v) + 1) for v in hot])
+    second = as_number(df, order[1])
+    finer = sorted(set(_edges(ranged.where(tied).select(second.alias("x")), splits)))
+    within = _cut(ranged, second, finer, "__sub")
+    return within.withColumn(RANGE, F.when(tied, F.col(RANGE) + F.col("__sub") / (len(finer) + 3)).otherwise(
+        F.col(RANGE))).drop("__sub")
 
 
 def _sort(order: Sequence[str], descending: bool) -> list[Column]:
@@ -76,7 +99,7 @@ def _prepare(df, keys, order, splits):
         splits = splits_for(df.select(*dict.fromkeys(keys)) if keys else df, keys)
     if splits <= 1:
         return df, 1
-    return materialize(add_ranges(df, order[0], splits)), splits
+    return materialize(add_ranges(df, order, splits)), splits
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohorta.functions.columns import shared_columns
-from kohorta.functions.dates import NO_EVENT_YEAR, date_parts_by_schema, decade_floor, decade_text
-from kohorta.functions.text import is_blank, repair_encoding, strip_title
+from kohorta.functions.dates import (NO_EVENT_YEAR, age_in_centuries, date_parts_by_schema, decade_floor, decade_text,
+                                     onset_age, parse_ymd)
+from kohorta.functions.text import is_blank, regex_flag, repair_encoding, strip_title
 from kohorta.operators.aggregates import count_by, ratio_to_total
 from kohorta.operators.joins import within_after
 from kohorta.operators.ordered import first_rows, join_null_safe, quantiles
@@ -78,6 +79,21 @@ def clinical_status(cohort: DataFrame, patients: DataFrame, history: DataFrame,
     return count_by(first_rows(joined, ["Vorname", "Nachname"], ["Pat_Nr"]), ["grp", *status])
 
 
+def age_table(members: DataFrame, as_of, corrections: DataFrame | None = None) -> DataFrame:
+    """Sex flag, age and age at onset (in centuries) per patient; a correction replaces the patient's row.
+
+    ``members`` has Patient_ID, Geschlecht, Geburtsdatum, Diagnose_Jahr.
+    """
+    born = parse_ymd(F.col("Geburtsdatum"))
+    out = members.select(
+        "Patient_ID", regex_flag(F.col("Geschlecht"), "weibl").cast("double").alias("Geschlecht"),
+        age_in_centuries(born, F.lit(as_of)).alias("Age"),
+        (onset_age(F.col("Diagnose_Jahr"), born) / 100).alias("Age_of_onset"), F.lit(1).alias("source"))
+    if corrections is not None:
+        out = out.unionByName(corrections.select("Patient_ID", "Geschlecht", "Age", "Age_of_onset", F.lit(0).alias("source")))
+    return first_rows(out, ["Patient_ID"], ["source"]).drop("source")
+
+
 def pre_event_records(records: DataFrame, events: DataFrame, cohort: DataFrame, event_columns: Sequence[str],
                       marker: str = "LeistID", months: int = 6) -> DataFrame:
     """Attribute rows with their record id, without encounters that touch the months after an event.

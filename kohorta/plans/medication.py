@@ -11,6 +11,7 @@ from kohorta.functions.dates import before_event
 from kohorta.functions.text import blank_to_null, is_blank, regex_flag
 from kohorta.operators.aggregates import collapse_unique, ratio_to_total
 from kohorta.operators.reshape import unpivot, unpivot_groups
+from kohorta.session import holds_at_most
 
 # The classes that are recognised and flagged, in order of preference.
 CLASSES = ("CE_Hemmer", "Corticoid", "Immunsupressivum")
@@ -25,25 +26,34 @@ def medication_distribution(wide: DataFrame, patient: str, class_columns: Sequen
 
 
 def fill_classes(rows: DataFrame, drug: str = "Drug", klass: str = "Klasse", classes: Sequence[str] = CLASSES,
-                 literal: bool = False) -> DataFrame:
+                 literal: bool = False, dictionary_rows: int = 50_000) -> DataFrame:
     """Give drugs without a class the first class that has a known drug whose name occurs in theirs.
 
     Names are matched once per distinct drug name against the dictionary of known names, and the
-    outcome is joined back.
+    outcome is joined back. A counted, small dictionary travels as arrays; a larger one is joined.
     """
-    known = F.when(F.col(drug) != "", F.col(drug))
-    dictionary = rows.agg(*[F.collect_set(F.when(F.col(klass) == c, known)).alias(f"d{i}") for i, c in enumerate(classes)])
+    rank = F.lit(None).cast("int")
+    for i, c in reversed(list(enumerate(classes))):
+        rank = F.when(F.col(klass) == c, i).otherwise(rank)
+    known = rows.select(rank.alias("rank"), F.col(drug).alias("known")).where(
+        F.col("rank").isNotNull() & (F.col("known") != "")).distinct()
     names = rows.where(is_blank(F.col(klass)) & F.col(drug).isNotNull()).select(drug).distinct()
-    names = names.select(drug, *[dictionary.select(f"d{i}").scalar().alias(f"d{i}") for i in range(len(classes))])
 
-    def mentions(i: int):
+    def mentions(pattern):
         if literal:
-            return F.exists(f"d{i}", lambda p: F.lower(F.col(drug)).contains(F.lower(p)))
-        return F.exists(f"d{i}", lambda p: F.rlike(F.col(drug), F.concat(F.lit("(?i)"), p)))
-    found = F.lit("")
-    for i, c in reversed(list(enumerate(classes))):
-        found = F.when(mentions(i), c).otherwise(found)
-    guessed = names.select(drug, found.alias("__guess"))
+            return F.lower(F.col(drug)).contains(F.lower(pattern))
+        return F.rlike(F.col(drug), F.concat(F.lit("(?i)"), pattern))
+    if holds_at_most(known, dictionary_rows):
+        arrays = known.agg(*[F.collect_set(F.when(F.col("rank") == i, F.col("known"))).alias(f"d{i}")
+                             for i in range(len(classes))])
+        names = names.select(drug, *[arrays.select(f"d{i}").scalar().alias(f"d{i}") for i in range(len(classes))])
+        guess = F.lit(None).cast("string")
+        for i, c in reversed(list(enumerate(classes))):
+            guess = F.when(F.exists(f"d{i}", mentions), c).otherwise(guess)
+        guessed = names.select(drug, guess.alias("__guess"))
+    else:
+        best = names.join(known, mentions(F.col("known"))).groupBy(drug).agg(F.min("rank").alias("rank"))
+        guessed = best.select(drug, F.get(F.array(*[F.lit(c) for c in classes]), F.col("rank")).alias("__guess"))
     return rows.join(guessed, drug, "left").withColumn(
         klass, F.coalesce(blank_to_null(F.col(klass)), F.col("__guess"), F.lit(""))).drop("__guess")
 

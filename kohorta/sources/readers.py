@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -78,15 +79,29 @@ def read_lines(spark: SparkSession, path: str | list[str], skip: int = 0,
     return placed.mapInArrow(_drop_head(skip), LINES_SCHEMA)
 
 
+def _used_positions(batches):
+    """One row per task for every character position that is not blank in some line."""
+    used = np.zeros(0, dtype=bool)
+    for batch in batches:
+        text = np.array(batch.column("line").to_pylist(), dtype=str)
+        if not text.size or not text.dtype.itemsize:
+            continue
+        codes = text.view(np.uint32).reshape(len(text), -1)
+        here = ((codes != 0) & (codes != ord(" "))).any(axis=0)
+        longer = np.zeros(max(len(here), len(used)), dtype=bool)
+        longer[:len(used)] |= used
+        longer[:len(here)] |= here
+        used = longer
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(used), pa.int64())], names=["pos"])
+
+
 def blank_edges(lines: DataFrame) -> list[tuple[int, int]]:
     """(start, length) of the text columns: runs of positions that are not blank in all lines.
 
-    Every line becomes per-position flags that are combined before the shuffle; what reaches the
-    driver is one row per character position of the layout.
+    Each task looks at its lines as a character grid and hands on positions only; what reaches the
+    driver is one number per character position of the layout.
     """
-    used = (lines.select(F.posexplode(F.split("line", "")).alias("pos", "ch"))
-            .groupBy("pos").agg(F.max(F.col("ch") != " ").alias("used"))
-            .where("used").select("pos").orderBy("pos"))
+    used = lines.select("line").mapInArrow(_used_positions, "pos long").distinct().orderBy("pos")
     spans: list[tuple[int, int]] = []
     for (pos,) in used.collect():
         if spans and spans[-1][0] + spans[-1][1] == pos + 1:

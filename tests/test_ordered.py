@@ -71,7 +71,7 @@ def test_a_hot_key_is_split(skewed):
     assert od.heaviest_group(skewed, ["key"]) > 400
     assert od.splits_for(skewed, ["key"], rows_per_task=100) == 12
     assert od.splits_for(skewed, ["key"], rows_per_task=10_000) == 1
-    parts = od.add_ranges(skewed, "at", 12).groupBy("key", od.RANGE).count()
+    parts = od.add_ranges(skewed, ["at", "id"], 12).groupBy("key", od.RANGE).count()
     assert parts.agg(F.max("count")).first()[0] < 130
 
 
@@ -97,3 +97,16 @@ def test_active_in_window(spark):
                                "p string, d string").withColumn("d", F.to_date("d"))
     got = [(str(r.d), r.n) for r in active_in_window(df, "p", "d", "n", scale=1.0).orderBy("d").collect()]
     assert got == [("2020-01-01", 1.0), ("2020-03-01", 2.0), ("2020-07-01", 2.0), ("2020-09-01", 1.0), ("2021-01-01", 0.0)]
+
+
+def test_a_hot_day_of_a_hot_key_is_split_too(spark):
+    rows = [("hot" if i % 3 else f"k{i % 50}", 7 if i % 5 else i % 40, i, float(i % 11)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "key string, at int, id int, v double")
+    parts = od.add_ranges(df, ["at", "id"], 10).groupBy("key", od.RANGE).count()
+    assert parts.agg(F.max("count")).first()[0] < 200
+    sums = {"s": F.col("v")}
+    for descending in (False, True):
+        same(od.running_sums(df, ["key"], ["at", "id"], sums, descending, splits=10),
+             od.running_sums(df, ["key"], ["at", "id"], sums, descending, splits=1))
+    same(od.previous_values(df, ["key"], ["at", "id"], {"v": "pv"}, splits=10),
+         od.previous_values(df, ["key"], ["at", "id"], {"v": "pv"}, splits=1))

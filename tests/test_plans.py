@@ -20,8 +20,9 @@ def test_classes_are_filled_from_known_drugs(spark):
     rows = [("p", 1, "Predni", "Corticoid"), ("p", 2, "PREDNI 5 mg", None), ("p", 3, "Azathioprin", "Immunsupressivum"),
             ("p", 4, "unknown", ""), ("q", 5, "azathioprin forte", ""), ("q", 6, None, None)]
     df = spark.createDataFrame(rows, "p string, at int, Drug string, Klasse string")
-    got = {r.at: r.Klasse for r in me.fill_classes(df).collect()}
-    assert got == {1: "Corticoid", 2: "Corticoid", 3: "Immunsupressivum", 4: "", 5: "Immunsupressivum", 6: ""}
+    for options in ({}, {"dictionary_rows": 1}, {"literal": True}, {"literal": True, "dictionary_rows": 1}):
+        got = {r.at: r.Klasse for r in me.fill_classes(df, **options).collect()}
+        assert got == {1: "Corticoid", 2: "Corticoid", 3: "Immunsupressivum", 4: "", 5: "Immunsupressivum", 6: ""}
     events = spark.createDataFrame([("p", 3), ("q", None)], "p string, event int")
     out = {r.p: r for r in me.medication_classes(df, events, "p", "at", "event", "at").collect()}
     assert out["p"].Wirkstoffe == "Corticoid" and out["p"].Immunsupressivum == 0
