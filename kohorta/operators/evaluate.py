@@ -25,28 +25,33 @@ REPORT_THRESHOLDS = (0.1, 0.3, 0.9)
 FLAG_THRESHOLDS = {"threshold_01": 0.1, "threshold_03": 0.3, "threshold_08": 0.8}
 SWEEP_MARKS = (0.05, 0.3, 0.5, 0.7, 0.95)
 
+RANK_BLOCKS = 1000  # ranks of a run are looked up by thousandths
+
 
 def score_ranks(df: DataFrame, runs: Sequence[str], score: str, label: str, descending: bool = False,
-                splits: int | None = None) -> DataFrame:
-    """Per run and distinct score: pos, neg, the counts up to here, and the run's totals."""
+                splits: int | None = None, totals: bool = False) -> DataFrame:
+    """Per run and distinct score: pos, neg and the counts up to here; on demand the run's P and N,
+    which come from the same per-score counts."""
     hit = F.col(label).cast("boolean")
     if splits is None:
         splits = splits_for(df.select(*runs) if runs else df, runs)
     counted = df.groupBy(*runs, score).agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
     upto = running_sums(counted, runs, [score], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")},
                         descending, splits)
-    totals = df.groupBy(*runs).agg(F.count_if(hit).alias("P"), F.count_if(~hit).alias("N"))
+    if not totals:
+        return upto
+    sizes = counted.groupBy(*runs).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     if runs:
-        return join_null_safe(upto, totals, runs)
-    return upto.withColumns({"P": totals.select("P").scalar(), "N": totals.select("N").scalar()})
+        return join_null_safe(upto, sizes, runs)
+    return upto.withColumns({"P": sizes.select("P").scalar(), "N": sizes.select("N").scalar()})
 
 
 def auc(df: DataFrame, runs: Sequence[str], score: str, label: str, splits: int | None = None) -> DataFrame:
-    """Exact rank AUC with ties, per run."""
+    """Exact rank AUC with ties, per run. Missing where a run has one class only."""
     ranks = score_ranks(df, runs, score, label, splits=splits)
     below = F.col("neg_upto") - F.col("neg") / 2
-    return ranks.groupBy(*runs).agg(
-        F.try_divide(F.sum(F.col("pos") * below), F.max(F.col("P").cast("double") * F.col("N"))).alias("auc"))
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    return ranks.groupBy(*runs).agg(F.try_divide(F.sum(F.col("pos") * below), pairs).alias("auc"))
 
 
 def auc_summary(aucs: DataFrame, model: str) -> DataFrame:
@@ -56,17 +61,21 @@ def auc_summary(aucs: DataFrame, model: str) -> DataFrame:
 def auc_ci(df: DataFrame, runs: Sequence[str], score: str, label: str, z: float = 1.959963984540054,
            splits: int | None = None) -> DataFrame:
     """AUC with the DeLong variance from placement values, in one aggregate of the ranks."""
+    # Placements are kept as counts, so the totals of a run are needed only in the aggregate itself:
+    # a positive beats `under` negatives, a negative is beaten by P - `over` positives.
     ranks = score_ranks(df, runs, score, label, splits=splits)
-    of_pos = (F.col("neg_upto") - F.col("neg") / 2) / F.col("N")
-    of_neg = (F.col("P") - F.col("pos_upto") + F.col("pos") / 2) / F.col("P")
+    under = F.col("neg_upto") - F.col("neg") / 2
+    over = F.col("pos_upto") - F.col("pos") / 2
+    p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
 
-    def spread(weight: str, place: Column, size: str) -> Column:
+    def variance(weight: str, place: Column, size: Column, scale: Column) -> Column:
         w = F.col(weight)
-        return F.try_divide(F.sum(w * place * place) - F.sum(w * place) * F.sum(w * place) / F.max(size),
-                            F.max(size) - 1)
-    summed = ranks.where("P > 0 and N > 0").groupBy(*runs).agg(
-        (F.sum(F.col("pos") * of_pos) / F.max("P")).alias("auc"),
-        (spread("pos", of_pos, "P") / F.max("P") + spread("neg", of_neg, "N") / F.max("N")).alias("variance"))
+        centred = F.sum(w * place * place) - F.sum(w * place) * F.sum(w * place) / size
+        return F.try_divide(centred / (scale * scale), (size - 1) * size)
+    summed = ranks.groupBy(*runs).agg(
+        p.alias("P"), n.alias("N"), F.try_divide(F.sum(F.col("pos") * under), p * n).alias("auc"),
+        F.when((p > 1) & (n > 1), variance("pos", under, p, n) + variance("neg", over, n, p)).alias("variance"))
+    summed = summed.where("P > 0 and N > 0").drop("P", "N")
     width = F.lit(z) * F.sqrt(F.greatest(F.col("variance"), F.lit(0.0)))
     return summed.withColumns({"lower": F.greatest(F.col("auc") - width, F.lit(0.0)),
                                "upper": F.least(F.col("auc") + width, F.lit(1.0))})
@@ -116,8 +125,9 @@ def sweep_selection(df: DataFrame, runs: Sequence[str], score: str, label: str,
                     splits: int | None = None) -> DataFrame:
     """Recall, precision, lift and specificity when the top share of each run is selected.
 
-    One running count per run serves all shares: each share asks for two ranks, and the ranks are
-    equi-joined.
+    One running count per run serves all shares: each share asks for two ranks. Ranks meet by an
+    equi join on the thousandth of the run they lie in, so a value tied over much of a run stays one
+    row in a bounded number of blocks.
     """
     width = (max_share - min_share) / (steps - 1) if steps > 1 else 0.0
     shares = list(dict.fromkeys([min_share + i * width for i in range(steps)] + [float(m) for m in marks]))
@@ -127,19 +137,23 @@ def sweep_selection(df: DataFrame, runs: Sequence[str], score: str, label: str,
                               * jitter).alias("v"), F.col(label).cast("boolean").alias("hit"))
     counted = moved.groupBy(*runs, "v").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("p"))
     ranked = running_sums(counted, runs, ["v"], {"n_upto": F.col("n"), "p_upto": F.col("p")}, splits=splits)
-    places = ranked.select(
-        *runs, "v", (F.col("n_upto") - F.col("n")).alias("n_before"), (F.col("p_upto") - F.col("p")).alias("p_before"),
-        F.explode(F.sequence(F.col("n_upto") - F.col("n"), F.col("n_upto") - 1)).alias("place"))
-    sizes = moved.groupBy(*runs).agg(F.count(F.lit(1)).alias("size"), F.count_if("hit").alias("P"))
+    sizes = counted.groupBy(*runs).agg(F.sum("n").alias("size"), F.sum("p").alias("P"))
     wanted = sizes.select(*runs, "size", "P", F.explode(F.array(*[F.lit(s) for s in shares])).alias("share"))
     wanted = wanted.withColumn("h", F.round((F.col("size") - 1) * (1 - F.col("share")), 9))
-    wanted = wanted.withColumns({"lo": F.floor("h").cast("bigint"), "hi": F.ceil("h").cast("bigint")})
-
-    def at(side: str) -> DataFrame:
-        return places.select(*runs, F.col("place").alias(side), F.col("v").alias(f"v_{side}"),
-                             F.col("n_before").alias(f"n_{side}"), F.col("p_before").alias(f"p_{side}"))
-    found = join_null_safe(join_null_safe(wanted, at("lo"), [*runs, "lo"]), at("hi"), [*runs, "hi"])
-    found = found.withColumn("threshold", F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo")))
+    sides = F.array(F.struct(F.lit("lo").alias("side"), F.floor("h").cast("bigint").alias("place")),
+                    F.struct(F.lit("hi").alias("side"), F.ceil("h").cast("bigint").alias("place")))
+    wanted = wanted.select("*", F.inline(sides)).withColumn("block", F.expr(f"place * {RANK_BLOCKS} div size"))
+    held = join_null_safe(ranked, sizes.select(*runs, "size"), runs) if runs else ranked.withColumn(
+        "size", sizes.select("size").scalar())
+    first, last = f"(n_upto - n) * {RANK_BLOCKS} div size", f"(n_upto - 1) * {RANK_BLOCKS} div size"
+    blocks = held.select(*runs, "v", (F.col("n_upto") - F.col("n")).alias("n_before"), "n_upto",
+                         (F.col("p_upto") - F.col("p")).alias("p_before"),
+                         F.explode(F.expr(f"sequence({first}, {last})")).alias("block"))
+    asked = join_null_safe(wanted, blocks, [*runs, "block"]).where("n_before <= place and place < n_upto")
+    found = asked.groupBy(*runs, "size", "P", "share", "h").agg(*[
+        F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{n}_{side}")
+        for side in ("lo", "hi") for n, c in (("v", "v"), ("n", "n_before"), ("p", "p_before"))])
+    found = found.withColumn("threshold", F.col("v_lo") + (F.col("h") - F.floor("h")) * (F.col("v_hi") - F.col("v_lo")))
     at_low = F.col("threshold") <= F.col("v_lo")
     chosen = F.col("size") - F.when(at_low, F.col("n_lo")).otherwise(F.col("n_hi"))
     caught = F.col("P") - F.when(at_low, F.col("p_lo")).otherwise(F.col("p_hi"))
@@ -160,7 +174,7 @@ def selection_metrics(df: DataFrame, runs: Sequence[str], score: str, label: str
 
 def roc_points(df: DataFrame, runs: Sequence[str], score: str, label: str, splits: int | None = None) -> DataFrame:
     """(fpr, tpr, cutoff) at each distinct score of a run, and the origin."""
-    ranks = score_ranks(df, runs, score, label, descending=True, splits=splits)
+    ranks = score_ranks(df, runs, score, label, descending=True, splits=splits, totals=True)
     points = ranks.select(*runs, F.try_divide("neg_upto", "N").alias("fpr"), F.try_divide("pos_upto", "P").alias("tpr"),
                           F.col(score).cast("double").alias("cutoff"))
     origin = df.select(*runs).distinct().select(
