@@ -137,7 +137,7 @@ def points(t):
     return ev.finite_points(ev.roc_points(scores(t), RUNS, "score", "label"))
 
 
-@query("roc_points", f"with {ROC_SQL} select model, run, round(fpr, 8) as fpr, round(tpr, 8) as tpr, case when isfinite(cutoff) then cutoff end as cutoff from points")
+@query("roc_points", f"with {ROC_SQL} select model, run, round(fpr, 8) as fpr, round(tpr, 8) as tpr, case when isfinite(cutoff) then round(cutoff, 8) end as cutoff from points")
 def roc_points(t):
     out = r(ev.roc_points(scores(t), RUNS, "score", "label"))
     return out.withColumn("cutoff", F.when(F.col("cutoff") < float("inf"), F.col("cutoff")))
@@ -150,10 +150,10 @@ def finite_points(t):
     return r(ev.finite_points(out.withColumn("ratio", ratio), ["fpr", "tpr", "ratio"]), 7)
 
 
-@query("curve_interpolate", f"with {ROC_SQL}, {_curve_sql(101)} select model, run, grid_no, round(fpr, 9) as fpr, round(tpr, 9) as tpr, case when isfinite(cutoff) then round(cutoff, 9) end as cutoff from curves")
+@query("curve_interpolate", f"with {ROC_SQL}, {_curve_sql(101)} select model, run, grid_no, round(fpr, 11) as fpr, round(tpr, 11) as tpr, case when isfinite(cutoff) then round(cutoff, 11) end as cutoff from curves")
 def curve_interpolate(t):
     out = ev.curve_interpolate(points(t), RUNS, "fpr", ["tpr", "cutoff"], 101)
-    return r(out.withColumn("cutoff", ev.finite_or_null(F.col("cutoff"))), 9)
+    return r(out.withColumn("cutoff", ev.finite_or_null(F.col("cutoff"))), 11)
 
 
 @query("roc_vertical_average", f"""with {ROC_SQL}, {_curve_sql('(select max(c) from (select count(*) as c from points group by model, run))')},

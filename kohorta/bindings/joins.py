@@ -125,8 +125,8 @@ def join_star_features(t):
 
 @query("join_list_column", """
 with lists as (select p_brand, list(distinct p_type) as types from part group by 1)
-select p_partkey, p_type, b.p_brand as other_brand from part join (select p_brand, unnest(types) as p_type from lists) b using (p_type) where p_size = 50""")
+select p_partkey, p_type, b.p_brand as other_brand from part join (select p_brand, unnest(types) as p_type from lists) b using (p_type)""")
 def join_list_column_query(t):
     lists = t.part.groupBy(F.col("p_brand").alias("other_brand")).agg(F.collect_set("p_type").alias("types"))
-    return join_list_column(t.part.where("p_size = 50").select("p_partkey", "p_type"), lists, "types", "p_type").select(
+    return join_list_column(t.part.select("p_partkey", "p_type"), lists, "types", "p_type").select(
         "p_partkey", "p_type", "other_brand")

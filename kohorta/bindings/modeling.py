@@ -44,10 +44,10 @@ def screen_univariate(t):
     return out.select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"), "n")
 
 
-@query("screen_interactions", f"""with {LONG_SQL}, data as (select 'd' || a.i || ':d' || b.i as term, 10 * a.v * b.v as x, a.y from dims a join dims b on a.vec_id = b.vec_id and ('d' || a.i) < ('d' || b.i) where b.i < 12),
+@query("screen_interactions", f"""with {LONG_SQL}, data as (select 'd' || a.i || ':d' || b.i as term, 10 * a.v * b.v as x, a.y from dims a join dims b on a.vec_id = b.vec_id and ('d' || a.i) < ('d' || b.i)),
 {_newton_sql(9).replace('round(b1, 6)', 'round(b1 * 10, 5)').replace('round(error, 6)', 'round(error * 10, 5)')}""")
 def screen_interactions(t):
-    out = screen.screen_interactions(vectors(t), "mk", DIMS, DIMS[:12])
+    out = screen.screen_interactions(vectors(t), "mk", DIMS)
     return out.select("term", F.round("estimate", 5).alias("estimate"), F.round("std_error", 5).alias("std_error"), "n")
 
 
@@ -93,6 +93,26 @@ def impute_pmm(t):
     return impute.impute_pmm(holed_vectors(t, PMM_COLUMNS), "vec_id", PMM_COLUMNS, sweeps=2)
 
 
+@query("impute_pmm_audit", " union all ".join(
+    f"select 'd{i}' as feature, count(*) filter (where embedding[{i + 1}]::double >= 0.15) as filled, 0::bigint as still_missing, 0::bigint as foreign_values, 0::bigint as changed from embeddings"
+    for i in range(3)))
+def impute_pmm_audit(t):
+    """Per feature with holes: how many were filled, and that donors are observed values and observed
+    values stay."""
+    holed = materialize(holed_vectors(t, PMM_COLUMNS))
+    done = materialize(impute.impute_pmm(holed, "vec_id", PMM_COLUMNS, sweeps=1))
+    parts = []
+    for c in PMM_COLUMNS[:3]:
+        seen = holed.select(F.col(c).alias("now"), F.lit(1).alias("seen")).where("now is not null").distinct()
+        both = done.select("vec_id", F.col(c).alias("now")).join(holed.select("vec_id", F.col(c).alias("was")), "vec_id")
+        parts.append(both.join(seen, "now", "left").agg(
+            F.lit(c).alias("feature"), F.count_if(F.col("was").isNull() & F.col("now").isNotNull()).alias("filled"),
+            F.count_if(F.col("now").isNull()).alias("still_missing"),
+            F.count_if(F.col("now").isNotNull() & F.col("seen").isNull()).alias("foreign_values"),
+            F.count_if(F.col("was") != F.col("now")).alias("changed")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("design_matrix", "select vec_id, label < 5 as mk, embedding[1]::double as d0, embedding[2]::double as d1, round(embedding[1]::double * embedding[2]::double, 12) as \"d0:d1\" from embeddings")
 def design_matrix(t):
     out = models.design_matrix(vectors(t), ["d0", "d1", "d0:d1"], ["vec_id", "mk"])
@@ -138,6 +158,17 @@ def repeated_oof(t):
     return table
 
 
+@query("repeated_oof_audit", """
+select 1 as run, model, count(*) as scored, count(distinct vec_id) as patients, count(*) filter (where label < 5) as events, 0::bigint as outside
+from embeddings, (select unnest(['lasso', 'forest']) as model) group by model""")
+def repeated_oof_audit(t):
+    """Every patient is scored once per run and model, under its own label, with a probability."""
+    table, _, _ = models.repeated_oof(vectors(t), "vec_id", "mk", TERMS, runs=1, trees=10, **QUICK)
+    return table.groupBy("run", "model").agg(
+        F.count(F.lit(1)).alias("scored"), F.countDistinct("patient").alias("patients"),
+        F.count_if("label").alias("events"), F.count_if(~F.col("predicted").between(0.0, 1.0)).alias("outside"))
+
+
 @query("label_permutation_null")
 def label_permutation_null(t):
     return models.label_permutation_null(vectors(t), "vec_id", "mk", TERMS, runs=2, **QUICK)

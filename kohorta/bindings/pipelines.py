@@ -32,9 +32,11 @@ def cohort(t):
 
 
 def patients(t, title=True):
-    born = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("born"))
+    """Patient records: the customers with an urgent order, born on the day of their first order."""
+    born = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.min("o_orderdate").alias("born"), F.max(F.col("o_orderpriority") == "1-URGENT").alias("known")).where("known")
     name = F.concat(F.when(F.col("c_nationkey") < 12, "Dr. ").otherwise(""), "c_name") if title else F.col("c_name")
-    return t.customer.where("c_nationkey < 22").join(born, "c_custkey", "left").select(
+    return t.customer.join(born, "c_custkey").select(
         F.col("c_custkey").alias("Pat_Nr"), name.alias("Name"), F.col("c_mktsegment").alias("Vorname"),
         F.date_format("born", "yyyy-MM-dd").alias("Geburtsdatum"))
 
@@ -43,7 +45,7 @@ COHORT_SQL = """
 cohort as (select c_mktsegment as Vorname, c_name as Nachname, c_custkey as Patient_ID, case when c_acctbal < 0 then 'test' else 'control' end as grp,
   case when c_nationkey % 2 = 0 then 'w' else 'm' end as Gender, c_acctbal < 0 as mk from customer),
 patients as (select c_custkey as Pat_Nr, c_name as Name, c_mktsegment as Vorname, strftime(born, '%Y-%m-%d') as Geburtsdatum
-  from customer left join (select o_custkey, min(o_orderdate) as born from orders group by 1) on c_custkey = o_custkey where c_nationkey < 22)
+  from customer join (select o_custkey, min(o_orderdate) as born from orders group by 1 having max((o_orderpriority = '1-URGENT')::int) = 1) on c_custkey = o_custkey)
 """
 
 
@@ -71,16 +73,16 @@ def encounter_cohort(t):
 
 
 ONSET_SQL = f"""{COHORT_SQL}, {URGENT_SQL},
-members as (select grp, Gender, 2005.0 + Pat_Nr % 9 - substr(Geburtsdatum, 1, 4)::double as onset_age,
-  coalesce(year(d2), 2021) - (2005.0 + Pat_Nr % 9) as years_to_event
-  from patients p join cohort c on c.Nachname = p.Name and c.Vorname = p.Vorname left join urgent on o_custkey = Patient_ID where Pat_Nr % 5 <> 0)
+members as (select grp, Gender, 2000.0 + c_nationkey - substr(Geburtsdatum, 1, 4)::double as onset_age,
+  coalesce(year(d2), 2021) - (2000.0 + c_nationkey) as years_to_event
+  from patients p join cohort c on c.Nachname = p.Name and c.Vorname = p.Vorname join customer on c_custkey = Patient_ID left join urgent on o_custkey = Patient_ID where c_mktsegment <> 'MACHINERY')
 """
 
 
 def onset_members(t):
     known = co.date_parts_by_schema(patients(t, title=False))
     diagnoses = t.customer.select(F.col("c_custkey").alias("Pat_Nr"), F.when(
-        F.col("c_custkey") % 5 != 0, (2005 + F.col("c_custkey") % 9).cast("string")).alias("Diagnose_Jahr"))
+        F.col("c_mktsegment") != "MACHINERY", (2000 + F.col("c_nationkey")).cast("string")).alias("Diagnose_Jahr"))
     dated = cohort(t).join(urgent_dates(t).select(F.col("o_custkey").alias("Patient_ID"), F.coalesce(
         F.col("d2").cast("string"), F.lit("")).alias("mk1_date")), "Patient_ID", "left")
     return co.onset_members(known, diagnoses, dated)
@@ -92,15 +94,16 @@ def onset_table(t):
     return co.onset_table(onset_members(t))
 
 
-@query("age_table", f"""with {COHORT_SQL}, raw as (select Pat_Nr, (Pat_Nr % 2)::double as sex, floor(datediff('day', Geburtsdatum::date, date '2021-11-23') / 365) / 100 as age,
-  (2005.0 + Pat_Nr % 9 - year(Geburtsdatum::date)) / 100 as onset from patients)
-select Pat_Nr as "Patient_ID", case when Pat_Nr % 7 = 0 then 1.0 else sex end as "Geschlecht", round(case when Pat_Nr % 7 = 0 then 0.5 else age end, 8) as "Age",
-  round(case when Pat_Nr % 7 = 0 then 0.25 else onset end, 8) as "Age_of_onset" from raw""")
+@query("age_table", f"""with {COHORT_SQL}, raw as (select Pat_Nr, Vorname = 'BUILDING' as fixed, (Vorname = 'FURNITURE')::int::double as sex,
+  floor(datediff('day', Geburtsdatum::date, date '2021-11-23') / 365) / 100 as age, (2000.0 + length(Vorname) - year(Geburtsdatum::date)) / 100 as onset from patients)
+select Pat_Nr as "Patient_ID", case when fixed then 1.0 else sex end as "Geschlecht", round(case when fixed then 0.5 else age end, 8) as "Age",
+  round(case when fixed then 0.25 else onset end, 8) as "Age_of_onset" from raw""")
 def age_table(t):
-    members = patients(t).select(
-        F.col("Pat_Nr").alias("Patient_ID"), F.when(F.col("Pat_Nr") % 2 == 1, "weiblich").otherwise("männlich").alias("Geschlecht"),
-        "Geburtsdatum", (2005 + F.col("Pat_Nr") % 9).cast("string").alias("Diagnose_Jahr"))
-    corrected = patients(t).where("Pat_Nr % 7 = 0").select(
+    records = patients(t)
+    members = records.select(
+        F.col("Pat_Nr").alias("Patient_ID"), F.when(F.col("Vorname") == "FURNITURE", "weiblich").otherwise("männlich").alias("Geschlecht"),
+        "Geburtsdatum", (2000 + F.length("Vorname")).cast("string").alias("Diagnose_Jahr"))
+    corrected = records.where("Vorname = 'BUILDING'").select(
         F.col("Pat_Nr").alias("Patient_ID"), F.lit(1.0).alias("Geschlecht"), F.lit(0.5).alias("Age"), F.lit(0.25).alias("Age_of_onset"))
     return r(co.age_table(members, dt.date(2021, 11, 23), corrected))
 
@@ -219,7 +222,7 @@ with n as (select *, row_number() over (partition by l_orderkey order by l_linen
 limits as (select p_type as key, min(p_size)::double as wl, max(p_size)::double as wh, min(p_size)::double - 1 as ml, max(p_size)::double + 1 as mh from part group by 1),
 base as (select l_orderkey as "Encounter", n as rec, case l_returnflag when 'A' then 'w' when 'R' then 'm' else 'x' end as sex, p_type as key, l_quantity + l_discount as value,
   case when l_tax = 0.02 then null else l_discount * 100 end as low0, l_quantity + 1 as high0, l_shipdate::date as day, l_suppkey
-  from n join part on l_partkey = p_partkey where l_suppkey % 10 <> 3),
+  from n join part on l_partkey = p_partkey where not (l_linestatus = 'F' and l_tax = 0)),
 ranged as (select b.*, case when b.key = 'PROMO' then 0.005 else coalesce(round(low0), case sex when 'w' then wl when 'm' then ml else 0.0 end) end as low1, high0 as high1 from base b join limits l using (key)),
 scaled as (select "Encounter", rec, sex, key, day, case when key = 'SMALL' and high1 <= 20 then value * 100 else value end as value,
   case when key = 'SMALL' and high1 <= 20 then low1 * 100 else low1 end as low, case when key = 'SMALL' and high1 <= 20 then high1 * 100 else high1 end as high from ranged)
@@ -228,7 +231,7 @@ def measurement(t):
     from kohorta.bindings.sources import LINE_ORDER
     from kohorta.operators.ordered import number_rows
     lines = number_rows(t.lineitem, ["l_orderkey"], LINE_ORDER, "rec").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    value = F.when(F.col("l_suppkey") % 10 == 3, "-1").otherwise(
+    value = F.when((F.col("l_linestatus") == "F") & (F.col("l_tax") == 0), "-1").otherwise(
         F.replace(F.format_string("%.2f", F.col("l_quantity") + F.col("l_discount")), F.lit("."), F.lit(",")))
     attrs = {"Kat": F.concat("p_type", F.lit("_absolut")), "Value": value, "Date": F.date_format("l_shipdate", "dMMyyyy"),
              "range_low": F.when(F.col("l_tax") != 0.02, F.format_string("%.0f,0", F.col("l_discount") * 100)),

@@ -119,7 +119,7 @@ def scores(t) -> DataFrame:
         F.col("l_linenumber").alias("run"),
         F.when(F.col("l_returnflag") == "A", "glm").otherwise("rF").alias("model"),
         F.col("l_orderkey").alias("patient"), F.col("l_partkey").alias("row_id"),
-        ((F.col("l_quantity") + F.round(F.col("l_discount") * 100)) / 64).alias("score"),
+        ((F.col("l_quantity") + F.round(F.col("l_discount") * 100)) / 67).alias("score"),
         (F.col("l_quantity") * 0.5 + F.col("l_tax") * 300 > 20).alias("label"))
 
 
@@ -127,7 +127,7 @@ SCORES_SQL = """
 scores as (
   select l_linenumber as run, case when l_returnflag = 'A' then 'glm' else 'rF' end as model,
     l_orderkey as patient, l_partkey as row_id,
-    (l_quantity + round(l_discount * 100)) / 64 as score,
+    (l_quantity + round(l_discount * 100)) / 67 as score,
     l_quantity * 0.5 + l_tax * 300 > 20 as label
   from lineitem)
 """
