@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohorta.llm.jaccard import jaccard_components
-from kohorta.session import read_table
+from kohorta.llm.packing import pack_sequences
+from kohorta.llm.token_files import read_token_files, write_token_files
+from kohorta.session import read_table, scratch_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -19,3 +21,15 @@ def query(build):
 @query
 def op8_jaccard_join(spark: SparkSession, location: str) -> DataFrame:
     return jaccard_components(read_table(spark, location, "documents"), shingle=3, threshold=(90, 100))
+
+
+@query
+def op2_best_fit_packing(spark: SparkSession, location: str) -> DataFrame:
+    return pack_sequences(read_table(spark, location, "documents"), "word_bpe_49k.json", "dropped", 1, 4096)
+
+
+@query
+def op4_token_files(spark: SparkSession, location: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    return read_token_files(write_token_files(read_table(spark, location, "documents"), folder, "byte_bpe_50k.json",
+                                              "leading", 0))
