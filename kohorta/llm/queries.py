@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kohorta.llm.decontaminate import contamination
 from kohorta.llm.jaccard import jaccard_components
 from kohorta.llm.packing import pack_sequences
 from kohorta.llm.token_files import read_token_files, write_token_files
@@ -33,3 +34,9 @@ def op4_token_files(spark: SparkSession, location: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     return read_token_files(write_token_files(read_table(spark, location, "documents"), folder, "byte_bpe_50k.json",
                                               "leading", 0))
+
+
+@query
+def op7_decontamination(spark: SparkSession, location: str) -> DataFrame:
+    found = contamination(read_table(spark, location, "documents"), read_table(spark, location, "benchmark"), 10)
+    return found.drop("spans")
