@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kohorta.llm.decontaminate import contamination
 from kohorta.llm.jaccard import jaccard_components
+from kohorta.llm.ngram_lm import interpolated_scores
 from kohorta.llm.packing import pack_sequences
 from kohorta.llm.token_files import read_token_files, write_token_files
 from kohorta.session import read_table, scratch_path
@@ -40,3 +41,8 @@ def op4_token_files(spark: SparkSession, location: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, location: str) -> DataFrame:
     found = contamination(read_table(spark, location, "documents"), read_table(spark, location, "benchmark"), 10)
     return found.drop("spans")
+
+
+@query
+def op6_deleted_interpolation(spark: SparkSession, location: str) -> DataFrame:
+    return interpolated_scores(read_table(spark, location, "documents"), folds=5, out_fold=1)
