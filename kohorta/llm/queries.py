@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kohorta.llm.decontaminate import contamination
 from kohorta.llm.jaccard import jaccard_components
+from kohorta.llm.langid import identify_language
 from kohorta.llm.ngram_lm import interpolated_scores
 from kohorta.llm.packing import pack_sequences
 from kohorta.llm.token_files import read_token_files, write_token_files
@@ -46,3 +47,8 @@ def op7_decontamination(spark: SparkSession, location: str) -> DataFrame:
 @query
 def op6_deleted_interpolation(spark: SparkSession, location: str) -> DataFrame:
     return interpolated_scores(read_table(spark, location, "documents"), folds=5, out_fold=1)
+
+
+@query
+def op10_language_id(spark: SparkSession, location: str) -> DataFrame:
+    return identify_language(read_table(spark, location, "documents"), folds=4, out_fold=2)
