@@ -10,6 +10,7 @@ from kohorta.llm.jaccard import jaccard_components
 from kohorta.llm.langid import identify_language
 from kohorta.llm.ngram_lm import interpolated_scores
 from kohorta.llm.packing import pack_sequences
+from kohorta.llm.pii import personal_data
 from kohorta.llm.token_files import read_token_files, write_token_files
 from kohorta.session import read_table, scratch_path
 
@@ -52,3 +53,8 @@ def op6_deleted_interpolation(spark: SparkSession, location: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, location: str) -> DataFrame:
     return identify_language(read_table(spark, location, "documents"), folds=4, out_fold=2)
+
+
+@query
+def op5_personal_data(spark: SparkSession, location: str) -> DataFrame:
+    return personal_data(read_table(spark, location, "documents"))
