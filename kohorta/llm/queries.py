@@ -12,6 +12,7 @@ from kohorta.llm.ngram_lm import interpolated_scores
 from kohorta.llm.packing import pack_sequences
 from kohorta.llm.pii import personal_data
 from kohorta.llm.token_files import read_token_files, write_token_files
+from kohorta.llm.topk import exact_top_k
 from kohorta.session import read_table, scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -58,3 +59,20 @@ def op10_language_id(spark: SparkSession, location: str) -> DataFrame:
 @query
 def op5_personal_data(spark: SparkSession, location: str) -> DataFrame:
     return personal_data(read_table(spark, location, "documents"))
+
+
+@query
+def op9_exact_top_k(spark: SparkSession, location: str) -> DataFrame:
+    return exact_top_k(read_table(spark, location, "embeddings"), F.col("vec_id") % 100 == 0, 10, 1024)
+
+
+ORACLES["op9_exact_top_k"] = """
+WITH p AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM p q JOIN p c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
