@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from kohorta.llm.decontaminate import contamination
 from kohorta.llm.jaccard import jaccard_components
 from kohorta.llm.langid import identify_language
+from kohorta.llm.line_dedup import without_recurring_lines
 from kohorta.llm.ngram_lm import interpolated_scores
 from kohorta.llm.packing import pack_sequences
 from kohorta.llm.pii import personal_data
 from kohorta.llm.token_files import read_token_files, write_token_files
 from kohorta.llm.topk import exact_top_k
+from kohorta.llm.url_filter import host_and_path, judge_urls
 from kohorta.session import read_table, scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -76,3 +78,69 @@ s AS (
   FROM p q JOIN p c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@query
+def op1_line_dedup(spark: SparkSession, location: str) -> DataFrame:
+    cleaned = without_recurring_lines(read_table(spark, location, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"),
+                          F.length("text").cast("bigint").alias("n_chars"))
+
+
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+         ("block", "net/fr/")]
+LEVELS, RARE, MANY, Z, WEIGHT, PURITY = 4, 3, 20, 2.576, 10.0, 0.5
+
+
+@query
+def op3_url_templates(spark: SparkSession, location: str) -> DataFrame:
+    pages, labels = read_table(spark, location, "pages"), read_table(spark, location, "labels")
+    # a page's url names its document by number; the labels are those of the documents
+    _, path = host_and_path(F.col("url"))
+    number = pages.select("page_id", F.regexp_extract(path, "([0-9]+)", 1).try_cast("bigint").alias("doc_id"))
+    bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad")
+    marks = number.join(labels.select("doc_id", bad), "doc_id").select("page_id", "bad")
+    return judge_urls(pages, marks, RULES, LEVELS, RARE, MANY, Z, WEIGHT, PURITY)
+
+
+def _url_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    steps = []
+    for i in range(1, LEVELS + 1):
+        steps.append(f"""
+c{i} AS (SELECT host, t{i - 1} AS t, segs[{i}] AS seg, sum(n) AS c_n, sum(labelled) AS c_l, sum(bad) AS c_b FROM r{i - 1}
+  WHERE len(segs) >= {i} GROUP BY ALL),
+p{i} AS (SELECT host, t, count(*) AS kids, sum(c_l) AS p_l, sum(c_b) AS p_b FROM c{i} GROUP BY ALL),
+k{i} AS (SELECT c.host, c.t, seg, CASE WHEN kids > 1 AND ((kids >= {MANY} AND c_n <= {RARE}) OR c_l = 0 OR p_l = c_l
+    OR p_b = 0 OR p_b = p_l OR abs(c_b::DOUBLE / c_l - (p_b - c_b)::DOUBLE / (p_l - c_l)) < {Z} * sqrt((p_b::DOUBLE / p_l)
+      * (1 - p_b::DOUBLE / p_l) * (1.0::DOUBLE / c_l + 1.0::DOUBLE / (p_l - c_l)))) THEN '*' ELSE seg END AS node
+  FROM c{i} c JOIN p{i} p ON c.host = p.host AND c.t = p.t),
+r{i} AS (SELECT r.* EXCLUDE (t{i - 1}), CASE WHEN node IS NULL THEN t{i - 1} ELSE t{i - 1} || '/' || node END AS t{i}
+  FROM r{i - 1} r LEFT JOIN k{i} k ON r.host = k.host AND r.t{i - 1} = k.t AND r.segs[{i}] = k.seg AND len(segs) >= {i})""")
+    rules = sorted(RULES, key=lambda r: -len(r[1]))
+    fits = [(f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, "
+             f"'/{r.partition('/')[2]}')", v, r) for v, r in rules]
+    rule = " ".join(f"WHEN {f} THEN '{r}'" for f, _, r in fits)
+    verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, v, _ in fits)
+    return f"""
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM a),
+u AS (SELECT page_id, translate(raw, '{upper}', '{lower}') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+m AS (SELECT page_id, count(*) AS labelled, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad
+  FROM u JOIN labels ON TRY_CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) = doc_id
+  WHERE toxic IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+s AS (SELECT host, regexp_replace(path, '[0-9]+', '<n>', 'g') AS shape, count(*) AS n, coalesce(sum(labelled), 0) AS labelled,
+  coalesce(sum(bad), 0) AS bad FROM u LEFT JOIN m USING (page_id) GROUP BY ALL),
+r0 AS (SELECT *, list_filter(string_split(shape, '/'), lambda x: x <> '') AS segs, '' AS t0 FROM s),{",".join(steps)},
+f AS (SELECT host, shape, labelled, bad, CASE WHEN len(segs) > {LEVELS} THEN t{LEVELS} || '/**' ELSE t{LEVELS} END AS template
+  FROM r{LEVELS}),
+g AS (SELECT CASE WHEN sum(labelled) > 0 THEN 1 - sum(bad)::DOUBLE / sum(labelled)::DOUBLE ELSE 1 END AS prior FROM s),
+q AS (SELECT host, template, (sum(labelled) - sum(bad) + {WEIGHT}::DOUBLE * any_value(prior)) / (sum(labelled) + {WEIGHT}::DOUBLE)
+  AS purity FROM f, g GROUP BY ALL)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN purity < {PURITY} THEN 'block' ELSE 'allow' END AS verdict,
+  template, purity
+FROM (SELECT *, regexp_replace(path, '[0-9]+', '<n>', 'g') AS shape FROM u) JOIN f USING (host, shape) JOIN q USING (host, template)"""
+
+
+ORACLES["op3_url_templates"] = _url_sql()
