@@ -18,11 +18,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kohorta.llm.text import filled, slices, stage
+from kohorta.llm.text import filled, narrow, picked, slices, stage
 
 BITMAP_BITS, LEAF_LINES, LEAF_BYTES, DEEPER = 22, 2_000, 8_000_000, 8
 WILDCARD = "<*>"
+DROPPED = "__dropped_lines"
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -127,7 +129,7 @@ def _cluster(similarity):
 def recurring_lines(documents: DataFrame, similarity: float = 0.8, depth: int = 3, min_docs: int = 2,
                     min_words: int = 4) -> DataFrame:
     """(doc_id, dropped): the numbers of the lines of a document, with their hashes, whose template recurs and began elsewhere."""
-    docs = documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].cast("string").alias("text"))
+    docs = narrow(documents, doc_id="bigint", text="string")
     leaves = docs.mapInArrow(_count_leaves(depth, min_words), "leaf long, lo long, hi long").groupBy("leaf").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
     cells = leaves.select(_cell("leaf").alias("cell")).distinct().toArrow()["cell"].to_numpy()  # at most 2 ** BITMAP_BITS
@@ -156,7 +158,7 @@ def _remove(names):
     def run(batches):
         for batch in slices(batches):
             texts, counts, gone = [], [], []
-            for text, dropped in zip(batch.column("text").to_pylist(), batch.column("dropped").to_pylist()):
+            for text, dropped in zip(batch.column("text").to_pylist(), batch.column(DROPPED).to_pylist()):
                 lines = (text or "").split("\n")
                 out = {d["number"] for d in dropped or () if d["number"] < len(lines) and xxhash.xxh3_128_digest(
                     " ".join(masked(lines[d["number"]])).encode("utf-8", "surrogatepass")) == d["line_id"]}
@@ -172,15 +174,15 @@ def _remove(names):
 def without_recurring_lines(documents: DataFrame, similarity: float = 0.8, depth: int = 3, min_docs: int = 2,
                             min_words: int = 4) -> DataFrame:
     """The documents (doc_id, text, ...), all columns kept, without the recurring lines of all but the first document, and
-    n_lines (before) and n_dropped.
+    n_lines (before) and n_dropped, which replace columns of these names.
 
     Lines of fewer than ``min_words`` words and blank lines stay. A missing text stays missing, with no lines; a row without
     doc_id stays as it is; rows of one doc_id are one document, so lines that repeat only among them stay. An empty table
     gives an empty result.
     """
-    lost = recurring_lines(documents, similarity, depth, min_docs, min_words).select(
-        F.col("doc_id").alias("__doc"), "dropped")
-    names = documents.columns
-    joined = documents.join(lost, documents["doc_id"].cast("bigint") == lost["__doc"], "left").drop("__doc")
-    schema = documents.schema.add("n_lines", "long").add("n_dropped", "long")
+    names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
+    lost = recurring_lines(documents, similarity, depth, min_docs, min_words).toDF("__dropped_doc", DROPPED)
+    kept = picked(documents, *names)
+    joined = kept.join(lost, kept["doc_id"].cast("bigint") == lost["__dropped_doc"], "left").drop("__dropped_doc")
+    schema = T.StructType([*kept.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(_remove(names), schema)

@@ -23,13 +23,16 @@ MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ALNUM = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
 
 
-def narrow(df: DataFrame, **types: str) -> DataFrame:
-    """Only the named columns in the named types: extra columns of the input never reach an operator.
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """Only the columns of exactly these names, the first of each: other columns never reach an operator, whatever
+    their names, also such as differ in case only."""
+    places = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names)])
 
-    The columns are resolved through the frame itself, so names that differ in case or clash after a
-    join of the caller fail here and not in a task.
-    """
-    return df.select(*[df[c].cast(t).alias(c) for c, t in types.items()])
+
+def narrow(df: DataFrame, **types: str) -> DataFrame:
+    """``picked`` columns in the named types."""
+    return picked(df, *types).select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

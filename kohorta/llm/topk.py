@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kohorta.llm.text import file_system
+from kohorta.llm.text import file_system, picked
 from kohorta.session import scratch_path
 
 QUERY_BLOCK, VECTOR_BLOCK, VECTORS_AT_ONCE = 512, 4096, 100_000
@@ -125,7 +125,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     all. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(vectors["vec_id"].cast("bigint").alias("vec_id"), vectors["embedding"].alias("embedding"))
+    rows = picked(vectors, "vec_id", "embedding").withColumn("vec_id", F.col("vec_id").cast("bigint"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     points = rows.where("vec_id is not null and size(embedding) > 0").where(~odd).select(
         "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("bigint")).alias("vector"))

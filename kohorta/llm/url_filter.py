@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kohorta.llm.text import narrow
 from kohorta.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,12 +74,11 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     Segments beyond ``levels`` share one wildcard. Repeated rows and rows without page_id are each judged; an empty table
     gives an empty result.
     """
-    host, path = host_and_path(pages["url"])
-    rows = pages.select(pages["page_id"].cast("bigint").alias("page_id"), host.alias("host"), path.alias("path")).withColumn(
+    host, path = host_and_path(F.col("url"))
+    rows = narrow(pages, page_id="bigint", url="string").select("page_id", host.alias("host"), path.alias("path")).withColumn(
         "shape", F.regexp_replace("path", "[0-9]+", "<n>"))
-    marks = labels.where(labels["page_id"].isNotNull() & labels["bad"].isNotNull()).groupBy(
-        labels["page_id"].cast("bigint").alias("page_id")).agg(
-        F.count(F.lit(1)).alias("labelled"), F.sum(labels["bad"].cast("bigint")).alias("bad"))
+    marks = narrow(labels, page_id="bigint", bad="bigint").where("page_id is not null and bad is not null").groupBy(
+        "page_id").agg(F.count(F.lit(1)).alias("labelled"), F.sum("bad").alias("bad"))
     shapes = rows.join(marks, "page_id", "left").groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
