@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohorta.llm.text import alnum_hashes, file_system, narrow, signed, slices
+from kohorta.llm.text import alnum_hashes, file_system, narrow, placed, signed, slices
 from kohorta.session import scratch_path
 
 BITMAP_BITS, SAMPLE, SHARD_BYTES, PHRASES_AT_ONCE = 22, 8, 8_000_000, 20_000
@@ -222,10 +222,10 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*parts, raw[at:]]).decode()
 
 
-def _judge(cells, shortest, path, clean):
+def _judge(cells, shortest, path, doc_column="doc_id", text_column="text", clean=False):
     def run(batches):
-        for batch in slices(batches, limit=SHARD_BYTES):
-            hashes, offsets = alnum_hashes(batch.column("text"))
+        for batch in slices(batches, text_column, SHARD_BYTES):
+            hashes, offsets = alnum_hashes(batch.column(text_column))
             covered, items = _shard_hits(hashes, offsets, cells, shortest, path)
             edges = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
             opened = covered.copy()
@@ -242,7 +242,7 @@ def _judge(cells, shortest, path, clean):
                 spans[d].append((a - int(offsets[d]), b - int(offsets[d])))
             named = [",".join(sorted(map(str, found))) for found in items]
             hits = [sum(b - a for a, b in s) for s in spans]
-            out = {"doc_id": batch.column("doc_id"), "n_words": pa.array(np.diff(offsets)),
+            out = {"doc_id": batch.column(doc_column), "n_words": pa.array(np.diff(offsets)),
                    "n_hit": pa.array(hits, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()),
                    "items_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() if x else EMPTY_LIST for x in named]),
                    "contaminated": pa.array([h > 0 for h in hits]),
@@ -250,8 +250,8 @@ def _judge(cells, shortest, path, clean):
                                      pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))}
             if clean:
                 texts = [None if t is None else without_words(t, s) if s else t
-                         for t, s in zip(batch.column("text").to_pylist(), spans)]
-                out = {**{c: batch.column(c) for c in batch.schema.names}, "text": pa.array(texts, pa.string())}
+                         for t, s in zip(batch.column(text_column).to_pylist(), spans)]
+                out = {**{c: batch.column(c) for c in batch.schema.names}, text_column: pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
     return run
 
@@ -278,7 +278,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     """
     cells, shortest, path = _phrases(documents, benchmark, window)
     docs = narrow(documents, doc_id="bigint", text="string")
-    return docs.mapInArrow(_judge(cells, shortest, path, False),
+    return docs.mapInArrow(_judge(cells, shortest, path),
                            "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
                            "spans array<struct<start: long, stop: long>>")
 
@@ -286,4 +286,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
 def without_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents, all columns kept, with the spans of ``contamination`` cut out of their texts."""
     cells, shortest, path = _phrases(documents, benchmark, window)
-    return documents.mapInArrow(_judge(cells, shortest, path, True), documents.schema)
+    rows = placed(documents)
+    doc, text = (f"c{documents.columns.index(c)}" for c in ("doc_id", "text"))
+    return rows.mapInArrow(_judge(cells, shortest, path, doc, text, clean=True), rows.schema).toDF(*documents.columns)

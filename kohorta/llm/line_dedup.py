@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kohorta.llm.text import filled, narrow, picked, slices, stage
+from kohorta.llm.text import filled, narrow, picked, placed, slices, stage
 
 BITMAP_BITS, LEAF_LINES, LEAF_BYTES, DEEPER = 22, 2_000, 8_000_000, 8
 WILDCARD = "<*>"
@@ -147,18 +147,18 @@ def recurring_lines(documents: DataFrame, similarity: float = 0.8, depth: int =
         .when(F.col("split"), F.concat(F.lit("b"), F.col("deep").cast("string"))).otherwise(F.hex("line_id")))
     matched = stage(keyed.select("key", "leaf", "line_id", "line", "n").groupBy("key").applyInArrow(
         _cluster(similarity), "line_id binary, template string"), "templates")
-    placed = stage(lines.select("doc_id", "number", "line_id").join(matched, "line_id"), "placed")
-    recurring = placed.groupBy("template", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(
+    found = stage(lines.select("doc_id", "number", "line_id").join(matched, "line_id"), "placed")
+    recurring = found.groupBy("template", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(
         F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
-    return placed.join(recurring, "template").where("doc_id <> first").groupBy("doc_id").agg(
+    return found.join(recurring, "template").where("doc_id <> first").groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct("number", "line_id"))).alias("dropped"))
 
 
-def _remove(names):
+def _remove(columns, text_column):
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, text_column):
             texts, counts, gone = [], [], []
-            for text, dropped in zip(batch.column("text").to_pylist(), batch.column(DROPPED).to_pylist()):
+            for text, dropped in zip(batch.column(text_column).to_pylist(), batch.column(DROPPED).to_pylist()):
                 lines = (text or "").split("\n")
                 out = {d["number"] for d in dropped or () if d["number"] < len(lines) and xxhash.xxh3_128_digest(
                     " ".join(masked(lines[d["number"]])).encode("utf-8", "surrogatepass")) == d["line_id"]}
@@ -166,8 +166,8 @@ def _remove(names):
                 counts.append(len(lines) if text is not None else 0)
                 gone.append(len(out))
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names],
-                 pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_dropped"])
+                [*[pa.array(texts, pa.string()) if c == text_column else batch.column(c) for c in columns],
+                 pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*columns, "n_lines", "n_dropped"])
     return run
 
 
@@ -181,8 +181,9 @@ def without_recurring_lines(documents: DataFrame, similarity: float = 0.8, depth
     gives an empty result.
     """
     names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    lost = recurring_lines(documents, similarity, depth, min_docs, min_words).toDF("__dropped_doc", DROPPED)
-    kept = picked(documents, *names)
-    joined = kept.join(lost, kept["doc_id"].cast("bigint") == lost["__dropped_doc"], "left").drop("__dropped_doc")
+    lost = recurring_lines(documents, similarity, depth, min_docs, min_words).toDF("lost_id", DROPPED)
+    kept = placed(picked(documents, *names))
+    doc, text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    joined = kept.join(lost, F.col(doc).cast("bigint") == F.col("lost_id"), "left").drop("lost_id")
     schema = T.StructType([*kept.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_remove(names), schema)
+    return joined.mapInArrow(_remove(kept.columns, text), schema).toDF(*names, "n_lines", "n_dropped")

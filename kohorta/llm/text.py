@@ -27,7 +27,7 @@ def picked(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns of exactly these names, the first of each: other columns never reach an operator, whatever
     their names, also such as differ in case only."""
     places = [df.columns.index(n) for n in names]
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names)])
+    return placed(df).select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names)])
 
 
 def narrow(df: DataFrame, **types: str) -> DataFrame:
@@ -35,6 +35,11 @@ def narrow(df: DataFrame, **types: str) -> DataFrame:
     return picked(df, *types).select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """The same columns named by place, c0, c1 and so on, for functions that pass all of them through."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
