@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from kohorta.functions.numeric import finite_or_null, floor_to_step, round_to_step, unit_hash
 from kohorta.operators.aggregates import count_conditional, mean_sd_by, ratio_to_total
-from kohorta.operators.ordered import (fill_forward, first_rows, join_null_safe, number_rows, running_sums,
-                                       splits_for)
+from kohorta.operators.ordered import (fill_forward, first_rows, join_null_safe, number_rows, running_sums)
 from kohorta.operators.reshape import split_rows
 
 # The decision thresholds of the reports.
@@ -33,8 +32,6 @@ def score_ranks(df: DataFrame, runs: Sequence[str], score: str, label: str, desc
     """Per run and distinct score: pos, neg and the counts up to here; on demand the run's P and N,
     which come from the same per-score counts."""
     hit = F.col(label).cast("boolean")
-    if splits is None:
-        splits = splits_for(df.select(*runs) if runs else df, runs)
     counted = df.groupBy(*runs, score).agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
     upto = running_sums(counted, runs, [score], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")},
                         descending, splits)
@@ -131,8 +128,6 @@ def sweep_selection(df: DataFrame, runs: Sequence[str], score: str, label: str,
     """
     width = (max_share - min_share) / (steps - 1) if steps > 1 else 0.0
     shares = list(dict.fromkeys([min_share + i * width for i in range(steps)] + [float(m) for m in marks]))
-    if splits is None:
-        splits = splits_for(df.select(*runs) if runs else df, runs)
     moved = df.select(*runs, (F.col(score) + unit_hash(*[F.col(r) for r in runs], F.col(ident), seed=seed)
                               * jitter).alias("v"), F.col(label).cast("boolean").alias("hit"))
     counted = moved.groupBy(*runs, "v").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("p"))

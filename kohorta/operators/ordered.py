@@ -1,105 +1,66 @@
 """Ordered computations per key that stay distributed when one key is huge.
 
 A window over ``partitionBy(key)`` sorts a whole key in one task. Each function here first
-counts rows per key (a pre-aggregated pass that reads only the key columns). When the
-heaviest key fits a task the plain window runs. Otherwise the order is cut into ranges of about
-equal depth over the whole table, the window runs per (key, range), and one summary row per
-(key, range) carries the state across range borders.
+counts rows per key (a pre-aggregated pass that reads only the key columns). Keys that fit a task
+keep the plain window. The rows of heavier keys, and every table that is ordered without a key, are cut
+into ranges over all order columns, whatever their types; the window runs per (key, range), and one
+summary row per (key, range) carries the state across range borders.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohorta.session import materialize
 
 ROWS_PER_TASK = 4_000_000
-RANGE = "__range"
-NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+RANGE, WHOLE = "__range", "__whole"
 
 
-def heaviest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    if not keys:
-        return df.count()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+def heavy_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
+    """Keys with more rows than a task should sort, and how many."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return counts.where(F.col("__rows") > (rows_per_task or ROWS_PER_TASK))
 
 
-def splits_for(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> int:
-    """How many order ranges keep every (key, range) near ``rows_per_task`` rows.
+def splits_for(df: DataFrame, keys: Sequence[str], rows_per_task: int | None = None) -> int:
+    """1 if every key fits a task, else more."""
+    return 1 if keys and heavy_keys(df, keys, rows_per_task).isEmpty() else 2
 
-    Ranges are of equal depth over the whole table, so no key has more rows in one range
-    than the table has.
-    """
-    if heaviest_group(df, keys) <= rows_per_task:
-        return 1
-    return max(2, math.ceil(df.count() / rows_per_task))
-
-
-def as_number(df: DataFrame, name: str) -> Column:
-    """A monotone double for a numeric, date or timestamp column; missing sorts first."""
-    kind = dict(df.dtypes)[name]
-    if kind.startswith("timestamp"):
-        number = F.col(name).cast("timestamp").cast("double")
-    elif kind == "date":
-        number = F.unix_date(name).cast("double")
-    elif kind.startswith("decimal") or kind in NUMERIC:
-        number = F.col(name).cast("double")
-    else:
-        raise ValueError(f"leading order column {name} must be numeric, date or timestamp, not {kind}")
-    return F.coalesce(number, F.lit(float("-inf")))
-
-
-def _edges(numbers: DataFrame, splits: int) -> list[float]:
-    """Equal-depth edges of column x; a value that is repeated here holds more than one share."""
-    probe = numbers.where("x > double('-Infinity') and not isnan(x)")
-    shares = [i / splits for i in range(1, splits)]
-    edges = probe.agg(F.percentile_approx("x", shares, max(10_000, 20 * splits))).first()[0] or []
-    return [e for e in edges if math.isfinite(e)]
-
-
-def _cut(df: DataFrame, number: Column, inner: list[float], out: str) -> DataFrame:
-    if not inner:
-        return df.withColumn(out, F.lit(0.0))
-    cut = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="__x", outputCol=out,
-                     handleInvalid="keep")
-    return cut.transform(df.withColumn("__x", number)).drop("__x")
-
-
-def add_ranges(df: DataFrame, order: Sequence[str], splits: int) -> DataFrame:
-    """A range number that grows with the order. A lead value that fills whole ranges by itself gets
-    a range of its own, which the second order column cuts further."""
-    lead = as_number(df, order[0])
-    edges = _edges(df.select(lead.alias("x")), splits)
-    hot = sorted({a for a, b in zip(edges, edges[1:]) if a == b})
-    inner = sorted({*edges, *[math.nextafter(v, math.inf) for v in hot]})
-    ranged = _cut(df, lead, inner, RANGE)
-    if not hot or len(order) < 2 or dict(df.dtypes)[order[1]] not in NUMERIC and not dict(df.dtypes)[
-            order[1]].startswith(("decimal", "timestamp", "date")):
-        return ranged
-    tied = F.col(RANGE).isin([float(inner.index(v) + 1) for v in hot])
-    second = as_number(df, order[1])
-    finer = sorted(set(_edges(ranged.where(tied).select(second.alias("x")), splits)))
-    within = _cut(ranged, second, finer, "__sub")
-    return within.withColumn(RANGE, F.when(tied, F.col(RANGE) + F.col("__sub") / (len(finer) + 3)).otherwise(
-        F.col(RANGE))).drop("__sub")
 
+def add_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], splits: int) -> DataFrame:
+    """A range number that grows with the order of a key's rows. The ranges are of about equal size over all rows, so ties
+    of the leading columns are cut by the following ones; written once, because the cut is drawn from a sample."""
+    dealt = df.repartitionByRange(splits, *keys, *order)
+    return materialize(dealt.withColumn(RANGE, F.spark_partition_id()))
 
-def _sort(order: Sequence[str], descending: bool) -> list[Column]:
-    return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+
+def _by_size(df: DataFrame, keys: Sequence[str], order: Sequence[str], splits: int | None,
+             plain: Callable[[DataFrame], DataFrame], ranged: Callable[[DataFrame, Sequence[str]], DataFrame]) -> DataFrame:
+    """``plain`` for keys that fit a task, ``ranged`` for the others and for tables without key. A given ``splits`` decides
+    for all rows: 1 is plain, more is ranged."""
+    if splits == 1:
+        return plain(df)
+    if not keys:
+        parts = splits or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        # written with the ranges, so that the optimizer does not see one value and take one task
+        return ranged(add_ranges(df.withColumn(WHOLE, F.lit(0)), [], order, parts), [WHOLE]).drop(WHOLE)
+    if splits:
+        return ranged(add_ranges(df, keys, order, splits), keys)
+    heavy = materialize(heavy_keys(df, keys))
+    rows = heavy.agg(F.sum("__rows")).first()[0]
+    if rows is None:
+        return plain(df)
+    hot = add_ranges(join_null_safe(df, heavy, keys, "left_semi"), keys, order, math.ceil(2 * rows / ROWS_PER_TASK))
+    return plain(join_null_safe(df, heavy, keys, "left_anti")).unionByName(ranged(hot, keys))
 
 
-def _prepare(df, keys, order, splits):
-    if splits is None:
-        splits = splits_for(df.select(*dict.fromkeys(keys)) if keys else df, keys)
-    if splits <= 1:
-        return df, 1
-    return materialize(add_ranges(df, order, splits)), splits
+def _sort(order: Sequence[str], descending: bool) -> list[Column]:
+    return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -131,20 +92,21 @@ def _before(keys, descending) -> Window:
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column],
                  descending: bool = False, splits: int | None = None) -> DataFrame:
     """Cumulative sums per key in a stated total order."""
-    df, splits = _prepare(df, keys, order, splits)
     addends = {f"__add_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()}
-    df = df.withColumns(addends)
-    parts = [*keys] if splits <= 1 else [*keys, RANGE]
-    local = Window.partitionBy(*parts).orderBy(*_sort(order, descending)).rowsBetween(
-        Window.unboundedPreceding, 0)
-    out = df.withColumns({n: F.sum(f"__add_{n}").over(local) for n in sums})
-    if splits > 1:
-        totals = df.groupBy(*parts).agg(*[F.sum(f"__add_{n}").alias(f"__tot_{n}") for n in sums])
+
+    def local(rows, parts):
+        upto = Window.partitionBy(*parts).orderBy(*_sort(order, descending)).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({n: F.sum(f"__add_{n}").over(upto) for n in sums})
+
+    def ranged(rows, keys):
+        totals = rows.groupBy(*keys, RANGE).agg(*[F.sum(f"__add_{n}").alias(f"__tot_{n}") for n in sums])
         earlier = _before(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
-        out = _carry(out, keys, totals, {f"__pre_{n}": F.sum(f"__tot_{n}").over(earlier) for n in sums})
+        out = _carry(local(rows, [*keys, RANGE]), keys, totals,
+                     {f"__pre_{n}": F.sum(f"__tot_{n}").over(earlier) for n in sums})
         out = out.withColumns({n: F.col(n) + F.coalesce(F.col(f"__pre_{n}"), F.lit(0)) for n in sums})
-        out = out.drop(RANGE, *[f"__pre_{n}" for n in sums])
-    return out.drop(*addends)
+        return out.drop(RANGE, *[f"__pre_{n}" for n in sums])
+
+    return _by_size(df.withColumns(addends), keys, order, splits, lambda rows: local(rows, keys), ranged).drop(*addends)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "row_no",
@@ -156,39 +118,40 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: s
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str],
                     splits: int | None = None) -> DataFrame:
     """The values of the preceding row of the same key; ``columns`` maps source to new name."""
-    df, splits = _prepare(df, keys, order, splits)
-    parts = [*keys] if splits <= 1 else [*keys, RANGE]
-    local = Window.partitionBy(*parts).orderBy(*_sort(order, False))
-    out = df.withColumns({new: F.lag(old).over(local) for old, new in columns.items()})
-    if splits <= 1:
-        return out
-    out = out.withColumn("__first", F.row_number().over(local) == 1)
-    tail = df.groupBy(*parts).agg(
-        F.max_by(F.struct(*columns), F.struct(*order)).alias("__tail"))
-    out = _carry(out, keys, tail, {"__prev": F.lag("__tail").over(_before(keys, False))})
-    out = out.withColumns({new: F.when(F.col("__first"), F.col(f"__prev.{old}")).otherwise(F.col(new))
-                           for old, new in columns.items()})
-    return out.drop(RANGE, "__first", "__prev")
+    def local(rows, parts):
+        window = Window.partitionBy(*parts).orderBy(*_sort(order, False))
+        return rows.withColumns({new: F.lag(old).over(window) for old, new in columns.items()}), window
+
+    def ranged(rows, keys):
+        out, window = local(rows, [*keys, RANGE])
+        out = out.withColumn("__first", F.row_number().over(window) == 1)
+        tail = rows.groupBy(*keys, RANGE).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("__tail"))
+        out = _carry(out, keys, tail, {"__prev": F.lag("__tail").over(_before(keys, False))})
+        out = out.withColumns({new: F.when(F.col("__first"), F.col(f"__prev.{old}")).otherwise(F.col(new))
+                               for old, new in columns.items()})
+        return out.drop(RANGE, "__first", "__prev")
+
+    return _by_size(df, keys, order, splits, lambda rows: local(rows, keys)[0], ranged)
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
                  descending: bool = False, splits: int | None = None) -> DataFrame:
     """Last non-missing value so far, per key in order (``descending`` fills backwards)."""
-    df, splits = _prepare(df, keys, order, splits)
-    parts = [*keys] if splits <= 1 else [*keys, RANGE]
-    local = Window.partitionBy(*parts).orderBy(*_sort(order, descending)).rowsBetween(
-        Window.unboundedPreceding, 0)
-    out = df.withColumns({c: F.last(c, ignorenulls=True).over(local) for c in columns})
-    if splits <= 1:
-        return out
-    pick = F.min_by if descending else F.max_by
-    known = df.groupBy(*parts).agg(*[
-        pick(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__known_{c}") for c in columns])
-    earlier = _before(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
-    out = _carry(out, keys, known, {
-        f"__pre_{c}": F.last(f"__known_{c}", ignorenulls=True).over(earlier) for c in columns})
-    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__pre_{c}")) for c in columns})
-    return out.drop(RANGE, *[f"__pre_{c}" for c in columns])
+    def local(rows, parts):
+        upto = Window.partitionBy(*parts).orderBy(*_sort(order, descending)).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in columns})
+
+    def ranged(rows, keys):
+        pick = F.min_by if descending else F.max_by
+        known = rows.groupBy(*keys, RANGE).agg(*[
+            pick(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"__known_{c}") for c in columns])
+        earlier = _before(keys, descending).rowsBetween(Window.unboundedPreceding, -1)
+        out = _carry(local(rows, [*keys, RANGE]), keys, known, {
+            f"__pre_{c}": F.last(f"__known_{c}", ignorenulls=True).over(earlier) for c in columns})
+        out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__pre_{c}")) for c in columns})
+        return out.drop(RANGE, *[f"__pre_{c}" for c in columns])
+
+    return _by_size(df, keys, order, splits, lambda rows: local(rows, keys), ranged)
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -213,13 +176,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: dict[str,
     """Interpolated quantiles (type 7) per key, exact at any group size.
 
     Small groups use the built-in exact aggregate, which holds a group's distinct values in
-    memory. Beyond the row limit the values are counted, ranked by running counts and picked
-    by rank.
+    memory. Beyond the row limit, and without a key, the values are counted, ranked by running counts
+    and picked by rank.
     """
     df = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("__v"))
-    if splits is None:
-        splits = splits_for(df.select(*keys) if keys else df, keys)
-    if splits <= 1:
+    if (splits or splits_for(df.select(*keys) if keys else df, keys)) <= 1:
         return df.groupBy(*keys).agg(*[F.percentile("__v", p).alias(n) for n, p in probs.items()])
     counted = df.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
     ranked = running_sums(counted, keys, ["__v"], {"__upto": F.col("__c")}, splits=splits)

@@ -80,5 +80,5 @@ def reorder_levels(df: DataFrame, category: str, by: str, rank: str = "level") -
     category is a label of a report axis, so the ranked table is a dictionary."""
     from kohorta.operators.ordered import number_rows
     levels = df.groupBy(category).agg(F.avg(by).alias("__by"))
-    levels = number_rows(levels, [], ["__by", category], rank, splits=1)
+    levels = number_rows(levels, [], ["__by", category], rank)
     return df.join(levels.drop("__by"), category)

@@ -67,12 +67,36 @@ def test_first_rows_and_top_rows(spark, skewed):
     assert top.where("count > 3").isEmpty()
 
 
-def test_a_hot_key_is_split(skewed):
-    assert od.heaviest_group(skewed, ["key"]) > 400
-    assert od.splits_for(skewed, ["key"], rows_per_task=100) == 12
-    assert od.splits_for(skewed, ["key"], rows_per_task=10_000) == 1
-    parts = od.add_ranges(skewed, ["at", "id"], 12).groupBy("key", od.RANGE).count()
-    assert parts.agg(F.max("count")).first()[0] < 130
+def test_a_hot_key_is_split(skewed, monkeypatch):
+    monkeypatch.setattr(od, "ROWS_PER_TASK", 100)
+    assert [r.key for r in od.heavy_keys(skewed, ["key"]).collect()] == [0]
+    assert od.splits_for(skewed, ["key"]) == 2 and od.splits_for(skewed, ["key"], 10_000) == 1
+    sums = {"s": F.col("v"), "n": F.lit(1)}
+    same(od.running_sums(skewed, ["key"], ["at", "id"], sums), od.running_sums(skewed, ["key"], ["at", "id"], sums, splits=1))
+    same(od.previous_values(skewed, ["key"], ["at", "id"], {"v": "pv"}),
+         od.previous_values(skewed, ["key"], ["at", "id"], {"v": "pv"}, splits=1))
+    same(od.fill_forward(skewed, ["key"], ["at", "id"], ["v"]), od.fill_forward(skewed, ["key"], ["at", "id"], ["v"], splits=1))
+    parts = od.add_ranges(skewed.where("key = 0"), ["key"], ["at", "id"], 12).groupBy("key", od.RANGE).count()
+    assert parts.count() > 6 and parts.agg(F.max("count")).first()[0] < 130
+
+
+def test_no_single_task_without_a_key(skewed):
+    """Ordering a whole table never brings it to one task."""
+    for df in (od.running_sums(skewed, [], ["at", "id"], {"s": F.col("v")}), od.number_rows(skewed, [], ["v", "id"]),
+               od.previous_values(skewed, [], ["at", "id"], {"v": "pv"}), od.fill_forward(skewed, [], ["at", "id"], ["v"])):
+        assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("order", [["e"], ["t", "e"], ["s"], ["t", "u", "e"]])
+@pytest.mark.parametrize("keys", [["p"], []])
+def test_any_order_type_is_split(spark, order, keys):
+    """Text, struct and date orders, and ties of two columns that only the third decides."""
+    rows = [("hot" if i % 4 else f"q{i % 5}", f"e{(i * 7919) % 1000:04d}", i % 2, 7, (i % 3, f"x{(i * 31) % 1000}"), float(i % 13))
+            for i in range(1000)]
+    df = spark.createDataFrame(rows, "p string, e string, t int, u int, s struct<a: int, b: string>, v double")
+    same(od.number_rows(df, keys, order, splits=2), od.number_rows(df, keys, order, splits=1))
+    same(od.running_sums(df, keys, order, {"c": F.col("v")}, True, splits=9),
+         od.running_sums(df, keys, order, {"c": F.col("v")}, True, splits=1))
 
 
 def test_lag_trend_first_row_and_same_day(spark):
@@ -102,11 +126,18 @@ def test_active_in_window(spark):
 def test_a_hot_day_of_a_hot_key_is_split_too(spark):
     rows = [("hot" if i % 3 else f"k{i % 50}", 7 if i % 5 else i % 40, i, float(i % 11)) for i in range(1500)]
     df = spark.createDataFrame(rows, "key string, at int, id int, v double")
-    parts = od.add_ranges(df, ["at", "id"], 10).groupBy("key", od.RANGE).count()
-    assert parts.agg(F.max("count")).first()[0] < 200
+    parts = od.add_ranges(df, ["key"], ["at", "id"], 10).groupBy("key", od.RANGE).count()
+    assert parts.agg(F.max("count")).first()[0] < 250
     sums = {"s": F.col("v")}
     for descending in (False, True):
         same(od.running_sums(df, ["key"], ["at", "id"], sums, descending, splits=10),
              od.running_sums(df, ["key"], ["at", "id"], sums, descending, splits=1))
     same(od.previous_values(df, ["key"], ["at", "id"], {"v": "pv"}, splits=10),
          od.previous_values(df, ["key"], ["at", "id"], {"v": "pv"}, splits=1))
+
+
+def test_folds_are_even_at_every_size(spark):
+    from kohorta.operators.models import with_folds
+    for n in (7, 1001, 30_000):
+        sizes = [r["count"] for r in with_folds(spark.range(n).withColumnRenamed("id", "p"), "p", 10, 3).groupBy("fold").count().collect()]
+        assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
