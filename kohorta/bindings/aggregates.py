@@ -62,11 +62,27 @@ def fill_profile(t):
     return ag.fill_profile(tables)
 
 
-@query("fill_profile_catalog", " union all ".join(f"select '{n}' as table_name, count(*) as n_rows from {n}" for n in TABLES))
+#: Every column of every given table; True where an empty text counts as unfilled.
+CATALOG = {
+    "region": {"r_regionkey": False, "r_name": True},
+    "nation": {"n_nationkey": False, "n_name": True, "n_regionkey": False},
+    "customer": {"c_custkey": False, "c_name": True, "c_nationkey": False, "c_acctbal": False, "c_mktsegment": True},
+    "supplier": {"s_suppkey": False, "s_name": True, "s_nationkey": False, "s_acctbal": False},
+    "part": {"p_partkey": False, "p_name": True, "p_brand": True, "p_type": True, "p_size": False, "p_retailprice": False},
+    "lineitem": {"l_orderkey": False, "l_partkey": False, "l_suppkey": False, "l_linenumber": False, "l_quantity": False,
+                 "l_extendedprice": False, "l_discount": False, "l_tax": False, "l_returnflag": True, "l_linestatus": True,
+                 "l_shipdate": False},
+    "embeddings": {"vec_id": False, "embedding": False, "label": False},
+    "pages": {"page_id": False, "url": True, "html": True}, "benchmark": {"item_id": False, "text": True},
+    "labels": {"doc_id": False, "quality": False, "toxic": False},
+    "conversations": {"conv_id": False, "turn": False, "role": True, "text": True},
+    **{name: columns for name, columns in PROFILE.items() if name != "gapped"},
+}
+
+
+@query("fill_profile_catalog", _profile_sql(CATALOG))
 def fill_profile_catalog(t):
-    profile = ag.fill_profile({n: getattr(t, n) for n in TABLES})
-    return profile.groupBy("table_name").agg(
-        F.max(F.col("filled_values") + F.col("unfilled_values")).alias("n_rows"))
+    return ag.fill_profile({n: getattr(t, n) for n in TABLES})
 
 
 NULL_SQL = " union all ".join(f"select '{c}' as key, count(*) filter (where {c} is null) as value from gapped"

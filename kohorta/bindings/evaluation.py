@@ -231,13 +231,18 @@ def patient_score_summary(t):
 DRILL_PATIENT = 42
 
 
-@query("patient_drilldown", "select 'customer' as source, c_custkey as id, null::double as value from customer where c_custkey = 42 union all select 'orders', o_orderkey, o_totalprice from orders where o_custkey = 42 union all select 'events', event_id, value from events where user_id = 42")
+@query("patient_drilldown", f"""
+select 'customer' as source, c_custkey as id, null::double as value from customer where c_custkey = {DRILL_PATIENT} union all
+select 'orders', o_orderkey, o_totalprice from orders where o_custkey = {DRILL_PATIENT} union all
+select 'lineitem', l_orderkey, l_extendedprice from lineitem join orders on l_orderkey = o_orderkey where o_custkey = {DRILL_PATIENT} union all
+select 'events', event_id, value from events where user_id = {DRILL_PATIENT}""")
 def patient_drilldown(t):
-    facts = {"customer": ("c_custkey", "c_custkey", F.lit(None).cast("double")),
-             "orders": ("o_custkey", "o_orderkey", F.col("o_totalprice")), "events": ("user_id", "event_id", F.col("value"))}
-    parts = [getattr(t, name).where(F.col(key) == DRILL_PATIENT).select(
-        F.lit(name).alias("source"), F.col(ident).alias("id"), value.alias("value")) for name, (key, ident, value) in facts.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    items = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return ev.drilldown({
+        "customer": (t.customer, F.col("c_custkey"), F.col("c_custkey"), F.lit(None)),
+        "orders": (t.orders, F.col("o_custkey"), F.col("o_orderkey"), F.col("o_totalprice")),
+        "lineitem": (items, F.col("o_custkey"), F.col("l_orderkey"), F.col("l_extendedprice")),
+        "events": (t.events, F.col("user_id"), F.col("event_id"), F.col("value"))}, DRILL_PATIENT)
 
 
 @query("score_histogram", f"with {SCORES_SQL}, ends as (select min(score) as lo, (max(score) - min(score)) / 30 as w from scores) select model, label, least(floor((score - lo) / w) + 1, 30)::int as bin, count(*) as cnt from scores, ends group by 1, 2, 3")

@@ -68,6 +68,21 @@ def scan_ragged_csv_query(t):
     return cells.drop("row_pos")
 
 
+@query("scan_ragged_quoted", """
+select o_custkey::varchar as patient, o_orderkey::varchar as encounter, (unnest(range(len(cells))))::int as col_pos, unnest(cells) as value
+from (select *, [o_orderkey || ',' || o_custkey, 'a "quoted" ' || o_orderstatus] || string_split(o_orderpriority, ' ') as cells from orders)""")
+def scan_ragged_quoted(t):
+    """Quoted cells with the separator and with quotes inside, lines of different width, filled to the widest."""
+    number = F.concat(F.lit('"'), F.col("o_orderkey").cast("string"), F.lit(","), F.col("o_custkey").cast("string"), F.lit('"'))
+    said = F.concat(F.lit('"a ""quoted"" '), "o_orderstatus", F.lit('"'))
+    line = F.concat_ws(",", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), number, said,
+                       F.replace("o_orderpriority", F.lit(" "), F.lit(",")))
+    path = scratch_path(t.spark, "ragged")
+    t.orders.select(line.alias("line")).mapInPandas(lambda batches: _first_line("V1,V2", batches), "line string").write.text(path)
+    cells = scan_ragged_csv(t.spark, path, skip=1, keys=["patient", "encounter"], fill=True)
+    return cells.where("value is not null").drop("row_pos")  # without the cells that only fill
+
+
 def _first_line(head, batches):
     yield pd.DataFrame({"line": [head]})
     yield from batches

@@ -171,6 +171,7 @@ def bin_rate(df: DataFrame, column: str, label: str, n: int = 4, low: Column | N
 def histogram_counts(df: DataFrame, column: str, bins: int = 30, keys: Sequence[str] = ()) -> DataFrame:
     """Counts in equal-width bins 1..bins between the smallest and the largest value."""
     low, high = df.agg(F.min(column), F.max(column)).first()
+    low, high = (0.0, 0.0) if low is None else (low, high)  # nothing to count gives an empty result
     width = ((high - low) / bins) or 1.0
     place = F.least(F.floor((F.col(column) - low) / width) + 1, F.lit(bins)).cast("int")
     return (df.where(F.col(column).isNotNull()).groupBy(*keys, place.alias("bin"))

@@ -7,6 +7,7 @@ counts go through ``running_sums``, which splits a run too large for one task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ REPORT_THRESHOLDS = (0.1, 0.3, 0.9)
 FLAG_THRESHOLDS = {"threshold_01": 0.1, "threshold_03": 0.3, "threshold_08": 0.8}
 SWEEP_MARKS = (0.05, 0.3, 0.5, 0.7, 0.95)
 
+GRID_BLOCK = 4096  # a grid is unfolded in two steps, so no row holds all of a long grid
 RANK_BLOCKS = 1000  # ranks of a run are looked up by thousandths
 
 
@@ -191,13 +193,17 @@ def curve_interpolate(points: DataFrame, runs: Sequence[str], x: str, ys: Sequen
     ordered per run is the grid and not the points.
     """
     low, high = points.agg(F.min(x), F.max(x)).first()
-    step = (high - low) / (size - 1) or 1.0
+    low, high = (0.0, 0.0) if low is None else (low, high)  # no points give an empty result
+    step = (high - low) / max(size - 1, 1) or 1.0
     tied = points.groupBy(*runs, F.col(x).alias("x")).agg(*[F.avg(y).alias(y) for y in ys])
     point = F.struct("x", *ys)
     cell = F.least(F.floor((F.col("x") - low) / step), F.lit(size - 1)).cast("bigint")
     cells = tied.groupBy(*runs, cell.alias("k")).agg(F.min_by(point, "x").alias("b"), F.max_by(point, "x").alias("a"))
-    grid = points.select(*runs).distinct().select(
-        *runs, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias("k"))
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.lit((size - 1) // GRID_BLOCK).cast("bigint"))
+    inside = F.sequence(F.lit(0).cast("bigint"), F.lit(min(size, GRID_BLOCK) - 1).cast("bigint"))
+    grid = points.select(*runs).distinct().select(*runs, F.explode(blocks).alias("block")).select(
+        *runs, "block", F.explode(inside).alias("k")).withColumn("k", F.col("block") * GRID_BLOCK + F.col("k")).drop(
+        "block").where(F.col("k") < size)
     grid = join_null_safe(grid, cells.select(*runs, "k", "b"), [*runs, "k"], "left")
     grid = join_null_safe(grid, cells.select(*runs, (F.col("k") + 1).alias("k"), "a"), [*runs, "k"], "left")
     if splits is None:
@@ -215,7 +221,7 @@ def curve_interpolate(points: DataFrame, runs: Sequence[str], x: str, ys: Sequen
 def roc_vertical_average(points: DataFrame, models: Sequence[str], run: str, size: int | None = None) -> DataFrame:
     """Mean tpr and cutoff over runs at each grid position; the grid defaults to the longest run."""
     if size is None:
-        size = points.groupBy(*models, run).count().agg(F.max("count")).first()[0]
+        size = points.groupBy(*models, run).count().agg(F.max("count")).first()[0] or 1
     curves = curve_interpolate(points, [*models, run], "fpr", ["tpr", "cutoff"], size)
     return curves.groupBy(*models, "grid_no", "fpr").agg(
         F.avg("tpr").alias("tpr"), finite_or_null(F.avg("cutoff")).alias("cutoff"))
@@ -291,3 +297,12 @@ def feature_usage(coefficients: DataFrame, completeness: DataFrame, term: str =
 def patient_score_summary(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     summed = df.groupBy(*keys).agg(F.avg(score).alias("avg_predicted"), F.stddev_samp(score).alias("sd_predicted"))
     return summed.withColumns({n: F.col("avg_predicted") >= t for n, t in FLAG_THRESHOLDS.items()})
+
+
+def drilldown(facts: dict[str, tuple[DataFrame, Column, Column, Column]], patient) -> DataFrame:
+    """Every fact of one patient in long form (source, id, value). ``facts`` maps a source to its table and the columns of
+    patient, identity and value; the filter reaches each scan."""
+    parts = [df.where(key == F.lit(patient)).select(F.lit(name).alias("source"), ident.cast("bigint").alias("id"),
+                                                    value.cast("double").alias("value"))
+             for name, (df, key, ident, value) in facts.items()]
+    return reduce(DataFrame.unionByName, parts)

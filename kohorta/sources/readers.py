@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINES_SCHEMA = "file string, block_start long, line_no long, line string"
@@ -18,13 +18,17 @@ def _children(spark: SparkSession, location: str) -> list[str]:
     return sorted(s.getPath().toString() for s in system.listStatus(path))
 
 
+USER_TABLES = ("select table_schema, table_name from information_schema.tables where table_type = 'BASE TABLE' "
+               "and lower(table_schema) not in ('information_schema', 'pg_catalog', 'mysql', 'performance_schema', 'sys')")
+
+
 def scan_catalog(spark: SparkSession, location: str, format: str = "parquet",
                  **options: str) -> dict[str, DataFrame]:
     """Every non-empty table of a folder, of a metastore database, or of a JDBC source."""
     if format == "jdbc":
         source = spark.read.format("jdbc").options(url=location, **options)
-        names = source.option("query", "select table_name from information_schema.tables").load()
-        found = {r[0]: spark.read.format("jdbc").options(url=location, dbtable=r[0], **options).load()
+        names = source.option("query", USER_TABLES).load()  # one row per table
+        found = {r[1]: spark.read.format("jdbc").options(url=location, dbtable=f"{r[0]}.{r[1]}", **options).load()
                  for r in names.toLocalIterator()}
     elif format == "catalog":
         found = {t.name: spark.read.table(f"{location}.{t.name}") for t in spark.catalog.listTables(location)}
@@ -128,18 +132,28 @@ def scan_fixed_width(spark: SparkSession, path: str | list[str], names: list[str
     return lines.select(*columns)
 
 
+def split_cells(line: Column, sep: str = ",", quote: str = '"') -> Column:
+    """The cells of a delimited line; a quoted cell may hold the separator and doubled quotes. The pattern never
+    goes back, so long lines take linear time."""
+    s, q = (f"\\Q{x}\\E" for x in (sep, quote))
+    plain = f"[^{s}]*+" if len(sep) == 1 else f"(?s:(?!{s}).)*+"
+    found = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f"{s}({q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}(?={s}|\\z)|{plain})"), F.lit(1))
+    quoted = lambda c: (F.length(c) >= 2) & F.startswith(c, F.lit(quote)) & F.endswith(c, F.lit(quote))
+    return F.transform(found, lambda c: F.when(quoted(c), F.replace(
+        F.substring(c, F.lit(2), F.length(c) - 2), F.lit(quote * 2), F.lit(quote))).otherwise(c))
+
+
 def scan_ragged_csv(spark: SparkSession, path: str | list[str], skip: int = 1, n_keys: int = 2,
                     keys: list[str] | None = None, sep: str = ",", encoding: str = "UTF-8",
                     fill: bool = True) -> DataFrame:
     """Headerless CSV lines of varying width as ordered cells (keys, col_pos, row_pos, value).
 
     ``fill`` pads every line to the widest line of its file. Within the same keys the reading
-    order is (col_pos, row_pos): columns are stacked.
+    order is (col_pos, row_pos): columns are stacked. Cells may be quoted; ``sep`` is literal text.
     """
     keys = keys or [f"V{i + 1}" for i in range(n_keys)]
     lines = read_lines(spark, path, skip, encoding).select(
-        "file", F.struct("block_start", "line_no").alias("row_pos"),
-        F.split("line", sep).alias("cells"))
+        "file", F.struct("block_start", "line_no").alias("row_pos"), split_cells(F.col("line"), sep).alias("cells"))
     if fill:
         widest = lines.groupBy("file").agg(F.max(F.size("cells")).alias("widest"))
         lines = lines.join(widest, "file").withColumn("cells", F.concat("cells", F.array_repeat(

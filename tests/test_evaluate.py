@@ -128,3 +128,12 @@ def test_collapse_and_distinct_with_missing(spark):
     df = spark.createDataFrame([("p", "b", 2), ("p", "a", 3), ("p", "b", 1), ("p", None, 0)], "p string, v string, at int")
     assert ag.collapse_unique(df.where("v is not null"), ["p"], "v", "at", "o").first().o == "b, a"
     assert df.agg(ag.distinct_with_missing("v")).first()[0] == 3
+
+
+def test_empty_inputs_give_empty_results(spark):
+    from kohorta.operators.aggregates import histogram_counts
+    from kohorta.operators.evaluate import curve_interpolate, roc_vertical_average
+    points = spark.createDataFrame([], "model string, run int, fpr double, tpr double, cutoff double")
+    assert histogram_counts(points, "fpr").collect() == []
+    assert curve_interpolate(points, ["model", "run"], "fpr", ["tpr", "cutoff"], 5).collect() == []
+    assert roc_vertical_average(points, ["model"], "run").collect() == []

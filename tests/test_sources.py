@@ -45,6 +45,20 @@ def test_ragged_cells_are_filled_to_the_widest_line(spark, tmp_path):
     assert got == [("p1", "a"), ("p1", "d"), ("p1", "b"), ("p1", None), ("p1", "c"), ("p1", None), ("p2", "x")]
 
 
+def test_quoted_cells_and_other_separators(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('h\nK_1,E,"0,42",mmol,,"x ""y"" z"\n,,"",q"r\n' + 'K,E,"' + 'v,' * 40_000 + '"\n')
+    got = {}
+    for r in scan_ragged_csv(spark, str(tmp_path / "a.csv"), keys=["p", "e"], fill=False).collect():
+        got.setdefault(r.p, {})[r.col_pos] = r.value
+    assert got["K_1"] == {0: "0,42", 1: "mmol", 2: "", 3: 'x "y" z'} and got[""] == {0: "", 1: 'q"r'}
+    assert got["K"] == {0: "v," * 40_000}
+    for sep in ("|", ";", "::"):
+        path = tmp_path / f"b{ord(sep[0])}.csv"
+        path.write_text(f"h\np{sep}e{sep}a{sep}\"b{sep}c\"{sep}\n")
+        cells = scan_ragged_csv(spark, str(path), keys=["p", "e"], sep=sep).collect()
+        assert [r.value for r in sorted(cells, key=lambda r: r.col_pos)] == ["a", f"b{sep}c", ""]
+
+
 def test_catalog_drops_empty_tables(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "full.parquet"))
     spark.range(0).write.parquet(str(tmp_path / "empty.parquet"))
