@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kohorta.bindings.registry import query
 from kohorta.operators.ordered import number_rows
 from kohorta.operators.reshape import eav_to_record
-from kohorta.operators.segment import TREATMENT_ATTRIBUTES, header_attributes, segment_records, with_positions
+from kohorta.operators.segment import TREATMENT_ATTRIBUTES, leading_attributes, segment_records
 from kohorta.session import scratch_path
 from kohorta.sources.readers import scan_catalog, scan_csv_typed, scan_fixed_width, scan_ragged_csv, union_extracts
 from kohorta.sources.sinks import sink_csv, stage
@@ -185,8 +185,7 @@ select o_custkey as patient, o_orderkey as encounter,
     case when o_orderstatus = 'F' then 'stat' else 'amb' end, o_orderpriority]) as value
 from orders""")
 def header_attributes_query(t):
-    placed = with_positions(token_stream(t), ["patient", "encounter"], ["piece", "at"])
-    return header_attributes(placed, ["patient", "encounter"])
+    return leading_attributes(token_stream(t), ["patient", "encounter"], ["piece", "at"])
 
 
 @query("treatment_records", """

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kohorta.functions.text import is_number, is_zero, matches
-from kohorta.operators.ordered import number_rows
+from kohorta.operators.ordered import number_rows, top_rows
 from kohorta.session import materialize
 
 # Attribute names of the three kinds of content.
@@ -158,3 +158,11 @@ def header_attributes(tokens: DataFrame, keys: Sequence[str],
     labels = F.array(*[F.lit(n) for n in names])
     return tokens.where(F.col("pos") < len(names)).select(
         *keys, F.get(labels, F.col("pos").cast("int")).alias("attr"), "value")
+
+
+def leading_attributes(tokens: DataFrame, keys: Sequence[str], order: Sequence[str],
+                       names: Sequence[str] = HEADER_ATTRIBUTES) -> DataFrame:
+    """The same from tokens without positions: each task keeps the first few tokens of an encounter before the shuffle."""
+    labels = F.array(*[F.lit(n) for n in names])
+    first = top_rows(tokens, keys, [F.col(c) for c in order], len(names), "__place")
+    return first.select(*keys, F.get(labels, (F.col("__place") - 1).cast("int")).alias("attr"), "value")

@@ -11,7 +11,7 @@ from kohorta.functions.dates import before_event
 from kohorta.functions.text import blank_to_null, is_blank, regex_flag
 from kohorta.operators.aggregates import collapse_unique, ratio_to_total
 from kohorta.operators.reshape import unpivot, unpivot_groups
-from kohorta.session import holds_at_most
+from kohorta.session import holds_at_most, materialize
 
 # The classes that are recognised and flagged, in order of preference.
 CLASSES = ("CE_Hemmer", "Corticoid", "Immunsupressivum")
@@ -35,9 +35,10 @@ def fill_classes(rows: DataFrame, drug: str = "Drug", klass: str = "Klasse", cla
     rank = F.lit(None).cast("int")
     for i, c in reversed(list(enumerate(classes))):
         rank = F.when(F.col(klass) == c, i).otherwise(rank)
-    known = rows.select(rank.alias("rank"), F.col(drug).alias("known")).where(
+    pairs = materialize(rows.select(drug, klass).distinct())  # names and classes only; the rows are read once for them
+    known = pairs.select(rank.alias("rank"), F.col(drug).alias("known")).where(
         F.col("rank").isNotNull() & (F.col("known") != "")).distinct()
-    names = rows.where(is_blank(F.col(klass)) & F.col(drug).isNotNull()).select(drug).distinct()
+    names = pairs.where(is_blank(F.col(klass)) & F.col(drug).isNotNull()).select(drug).distinct()
 
     def mentions(pattern):
         if literal:
