@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kohorta.bindings.registry import query
 from kohorta.operators.ordered import number_rows
 from kohorta.operators.reshape import eav_to_record
-from kohorta.operators.segment import TREATMENT_ATTRIBUTES, leading_attributes, segment_records
+from kohorta.operators.segment import TREATMENT_ATTRIBUTES, leading_attributes, segment_records, with_positions
 from kohorta.session import scratch_path
 from kohorta.sources.readers import scan_catalog, scan_csv_typed, scan_fixed_width, scan_ragged_csv, union_extracts
 from kohorta.sources.sinks import sink_csv, stage
@@ -162,7 +162,7 @@ def numbered_tokens(t):
     return stage(t.spark, path, lambda: token_stream(t).select("patient", "encounter", pos.alias("pos"), "value"))
 
 
-@query("segment_records", """
+RECORDS_SQL = """
 with numbered as (select o_custkey as patient, l_orderkey as encounter, l_partkey, l_suppkey, l_quantity, l_returnflag, l_shipdate,
   row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount,
     l_tax, l_returnflag, l_linestatus, l_shipdate) as n from lineitem join orders on l_orderkey = o_orderkey),
@@ -173,11 +173,32 @@ pieces as (
   from numbered union all
   select patient, encounter, 2 * n, 'treatment', ['Type', 'Code', 'Descr', 'Date', 'Time'],
     ['OPS', '8-' || l_suppkey, 'Treatment ' || l_returnflag, strftime(l_shipdate, '%-d%m%Y'), '0'] from numbered)
-select patient, encounter, rec_no, rec_type, unnest(attrs) as attr, (unnest(range(len(attrs))))::int as seq, unnest(vals) as value from pieces""")
+select patient, encounter, rec_no, rec_type, unnest(attrs) as attr, (unnest(range(len(attrs))))::int as seq, unnest(vals) as value from pieces"""
+
+
+@query("segment_records", RECORDS_SQL)
 def segment_records_query(t):
     return segment_records(numbered_tokens(t), ["patient", "encounter"])
 
 
+@query("raw_extract_records", RECORDS_SQL.replace("l_quantity::int::varchar", "l_quantity::int::varchar || ',5'"))
+def raw_extract_records(t):
+    """From raw files to records: quoted lines of uneven width with decimal commas are written, read with filling,
+    ordered by (column, row), and cut into records."""
+    keys, comma = ["patient", "encounter"], (F.col("piece") > 0) & (F.col("at") == 2)
+    tokens = token_stream(t).withColumn("value", F.when(comma, F.concat("value", F.lit(",5"))).otherwise(F.col("value")))
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("piece", "at", "value"))), lambda x: F.concat(
+        F.lit('"'), F.replace(x["value"], F.lit('"'), F.lit('""')), F.lit('"')))
+    lines = tokens.groupBy(*keys).agg(F.array_join(cells, ",").alias("cells")).select(
+        F.concat_ws(",", *[F.col(k).cast("string") for k in keys], "cells").alias("line"))
+    path = scratch_path(t.spark, "raw")
+    lines.mapInPandas(lambda batches: _first_line("V1,V2", batches), "line string").write.text(path)
+    read = scan_ragged_csv(t.spark, path, skip=1, keys=keys, fill=True).where("value is not null")
+    placed = stage(t.spark, scratch_path(t.spark, "raw-tokens"), lambda: with_positions(read, keys, ["col_pos", "row_pos"]).select(
+        *[F.col(k).cast("bigint").alias(k) for k in keys], "pos", "value"))
+    return segment_records(placed, keys)
+
+
 @query("header_attributes", """
 select o_custkey as patient, o_orderkey as encounter,
   unnest(['admission', 'discharge', 'oe_admission', 'oe_discharge', 'encounter_type', 'DRG_Code_Aufn']) as attr,
