@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 from kohorta.bindings import QUERIES
 
 HEADLINE = ["patient_features", "screen_univariate", "auc", "segment_records", "measurement_table", "medication_classes",
-            "sweep_selection", "roc_spread", "lag_trend", "pre_event_records"]
+            "sweep_selection", "roc_spread", "lag_trend", "pre_event_records", "header_attributes", "scan_ragged_quoted",
+            "screen_interactions", "impute_pmm"]
 
 
 def run(spark, name, location):
