@@ -174,10 +174,18 @@ def label_permutation_null(t):
     return models.label_permutation_null(vectors(t), "vec_id", "mk", TERMS, runs=2, **QUICK)
 
 
-@query("permute_labels", "select label < 5 as mk, count(*) as cnt from embeddings group by 1")
+@query("permute_labels", """
+with hashed as (select vec_id, label < 5 as mk, row_number() over (order by substr(md5(concat_ws('|', vec_id, 5)), 1, 13), vec_id) as mine,
+  row_number() over (order by substr(md5(concat_ws('|', vec_id, 6)), 1, 13), vec_id) as theirs from embeddings)
+select a.vec_id, b.mk from hashed a join hashed b on a.mine = b.theirs""")
 def permute_labels(t):
-    dealt = models.permute_labels(vectors(t).select("vec_id", "mk"), "vec_id", "mk", seed=5)
-    return dealt.groupBy("mk").agg(F.count(F.lit(1)).alias("cnt"))
+    return models.permute_labels(vectors(t).select("vec_id", "mk"), "vec_id", "mk", seed=5).select("vec_id", "mk")
+
+
+@query("with_folds", """
+select vec_id, ((row_number() over (order by substr(md5(concat_ws('|', vec_id, 'fold', 3)), 1, 13), vec_id) - 1) % 10)::int as fold from embeddings""")
+def with_folds(t):
+    return models.with_folds(t.embeddings.select("vec_id"), "vec_id", 10, seed=3)
 
 
 def matrix(t):
