@@ -61,9 +61,9 @@ class Encoder:
         return text.replace("\n", " ").split(" ")
 
     def _full(self, chunk):
-        if chunk[:1] == EXACT:
-            return chunk[1:]
-        return chunk if self.lower or chunk[:1] == "\n" else " " + chunk
+        if self.lower or chunk[:1] == "\n":
+            return chunk
+        return chunk[1:] if chunk[:1] == EXACT else " " + chunk
 
     def _encode(self, chunks):
         """New chunks into the cache: letters by the model alone, others by the whole tokenizer."""
@@ -91,7 +91,7 @@ class Encoder:
                 continue
             word, end = c, c[-1:]
             if self.words and (end == "," or end == ".") and c[-2:-1].isalpha() and c[-2:-1].lower().isalpha():
-                word, end = c[:-1], EXACT + end
+                word, end = c[:-1], end if self.lower else EXACT + end
                 new.add(end)
             else:
                 end = ""
