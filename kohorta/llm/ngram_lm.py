@@ -2,7 +2,7 @@
 
 Counts of all one-, two- and three-word sequences are gathered exactly. Texts are read in chunks; a chunk sends its distinct
 sequences once, as sorted hashes cut into buckets, with its own counts. A bucket adds up what all chunks sent and sends
-each chunk the totals in the order in which it asked. So a sequence costs one entry per chunk and not one
+each chunk what others add to its counts, in the order in which it asked. So a sequence costs one entry per chunk and not one
 per occurrence, frequent ones are summed before they move, and no key can make a bucket heavy.
 
 The probability of a word is a nested mixture of the maximum-likelihood estimates of the three orders and a uniform floor.
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from kohorta.llm.text import GOLDEN, file_system, mixed, narrow, slices, stage, word_hashes
 from kohorta.session import scratch_path
 
-CHUNK_BYTES, ITERATIONS, FREQUENCIES, STEPS = 8_000_000, 15, 24, 4
+CHUNK_BYTES, BUCKET_BYTES, ITERATIONS, FREQUENCIES, STEPS = 4_000_000, 4_000_000, 15, 24, 4
+#: No weight takes all, so that every word keeps a probability.
+HEAVIEST = 0.99999
 END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -41,8 +43,10 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _keyed(x: np.ndarray, order: int) -> np.ndarray:
-    """The lowest two bits say the order, 0 for the mark before a text."""
-    return (mixed(x) & ~np.uint64(3)) | np.uint64(order)
+    """The lowest two bits say the order, 0 for the mark before a text. Single words have hashes of 61 bits. Longer
+    sequences, which are most, have 55 bits and lie in the upper half, so that their lowest byte costs nothing to send."""
+    x = mixed(x) >> np.uint64(1)
+    return (x & ~np.uint64(255)) | np.uint64((1 << 63) + order) if order > 1 else (x & ~np.uint64(3)) | np.uint64(order)
 
 
 class Chunk:
@@ -115,20 +119,21 @@ def _add_up(table: pa.Table) -> pa.Table:
     keys = [_unpack(x) for x in table.column("keys").to_pylist()]
     known, place = np.unique(np.concatenate(keys), return_inverse=True)
     sizes = np.cumsum([0, *map(len, keys)])
-    totals = []
+    totals, back = [], []
+    spans = list(zip(sizes[:-1], sizes[1:]))
     for column in ("learned", "deleted"):
-        total = np.zeros(len(known), np.int64)
-        for a, b, blob in zip(sizes[:-1], sizes[1:], table.column(column).to_pylist()):
+        total, own = np.zeros(len(known), np.int64), table.column(column).to_pylist()
+        for (a, b), blob in zip(spans, own):
             total[place[a:b]] += _unpack(blob).astype(np.int64)  # a chunk sends a key once
         totals.append(total)
+        back.append([_pack(total[place[a:b]] - _unpack(blob).astype(np.int64)) for (a, b), blob in zip(spans, own)])
     word = (known & np.uint64(3)) == 1
     facts = [int((totals[0][word] > 0).sum()), int(totals[0][word].sum()), int(totals[1][word].sum())]
-    back = [place[a:b] for a, b in zip(sizes[:-1], sizes[1:])]
     rest = [0] * (len(keys) - 1)
     return pa.table({
         "part": table.column("part"), "seq": table.column("seq"), "bucket": table.column("bucket"),
         "check": pa.array([xxhash.xxh3_64_intdigest(k.tobytes()) >> 1 for k in keys], pa.int64()),
-        "learned": pa.array([_pack(totals[0][p]) for p in back]), "deleted": pa.array([_pack(totals[1][p]) for p in back]),
+        "learned": pa.array(back[0]), "deleted": pa.array(back[1]),
         "distinct": pa.array([facts[0], *rest], pa.int64()), "tokens": pa.array([facts[1], *rest], pa.int64()),
         "held_tokens": pa.array([facts[2], *rest], pa.int64())})
 
@@ -138,12 +143,12 @@ TOTALS = ("part int, seq int, bucket int, check long, learned binary, deleted bi
 
 
 class Totals:
-    """What the buckets sent back to one partition."""
+    """What the buckets sent back to one partition, added to the own counts of a chunk."""
 
     def __init__(self, path, bits):
         self.path, self.bits, self.part = path, bits, None
 
-    def __call__(self, part, seq, chunk):
+    def __call__(self, part, seq, chunk, **own):
         if self.part != part:
             import pyarrow.dataset as ds
 
@@ -151,19 +156,19 @@ class Totals:
             self.part, self.data = part, ds.dataset(plain, filesystem=system, format="parquet")
         import pyarrow.compute as pc
 
-        found = self.data.to_table(filter=pc.field("seq") == seq).sort_by("bucket")
+        found = self.data.to_table(columns=["bucket", "check", *own], filter=pc.field("seq") == seq)
         cuts = chunk.cuts(self.bits)
-        learned, deleted = np.zeros(len(chunk.keys), np.int64), np.zeros(len(chunk.keys), np.int64)
-        done = 0
+        own, done = {c: x.copy() for c, x in own.items()}, 0
         for row in found.to_pylist():
             a, b = cuts[row["bucket"]], cuts[row["bucket"] + 1]
             if row["check"] != xxhash.xxh3_64_intdigest(chunk.keys[a:b].tobytes()) >> 1:
                 raise RuntimeError("the texts are not read in the same order each time; pass a written table")
-            learned[a:b], deleted[a:b] = _unpack(row["learned"]), _unpack(row["deleted"])
+            for column, counts in own.items():
+                counts[a:b] += _unpack(row[column]).astype(np.int64)
             done += b - a
         if done != len(chunk.keys):
             raise RuntimeError("counts of a chunk are missing; pass a written table")
-        return learned, deleted
+        return own
 
 
 def _frequency(context):
@@ -182,22 +187,24 @@ def _estimates(chunk, counts, n_tokens):
 
 def _grid(f):
     """Estimates on a logarithmic grid of quarter octaves; 0 is no estimate."""
-    return np.where(f > 0, 1 + np.round(-STEPS * np.log2(np.where(f > 0, f, 1))), 0).astype(np.int32)
+    return np.where(f > 0, np.minimum(1 + np.round(-STEPS * np.log2(np.where(f > 0, f, 1))), 255), 0).astype(np.int64)
 
 
-def _held_out(path, bits, held, n_tokens):
+def _cell(b3, b2, g3, g2, g1):
+    return (((b3 * 32 + b2) * 256 + g3) * 256 + g2) * 256 + g1
+
+
+def _held_out(path, bits, learn, held, n_tokens):
     def run(batches):
         totals = Totals(path, bits)
         for part, seq, _, fold, chunk in _chunks(batches):
             own = (fold == held)[chunk.doc]
             if not own.any():
                 continue
-            learned, deleted = totals(part, seq, chunk)
-            f1, f2, f3, b2, b3 = (x[own] for x in _estimates(chunk, learned - deleted, n_tokens))
-            rows, n = np.unique(np.stack([b3, b2, _grid(f3), _grid(f2), _grid(f1)], axis=1).astype(np.int32), axis=0,
-                                return_counts=True)
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(rows[:, i])) for i in range(5)], pa.array(n)],
-                                             ["b3", "b2", "g3", "g2", "g1", "n"])
+            counts = totals(part, seq, chunk, learned=chunk.counts(np.isin(fold, learn)), deleted=chunk.counts(fold == held))
+            f1, f2, f3, b2, b3 = (x[own] for x in _estimates(chunk, counts["learned"] - counts["deleted"], n_tokens))
+            cells, n = np.unique(_cell(b3, b2, _grid(f3), _grid(f2), _grid(f1)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n)], ["cell", "n"])
     return run
 
 
@@ -232,20 +239,20 @@ def learn_weights(cells: DataFrame, floor: float, iterations: int = ITERATIONS)
             for r in sums:
                 top[r[bucket]] += r[part]
                 all_[r[bucket]] += r[whole]
-            weights[name] = np.where(all_ > 0, top / np.maximum(all_, 1e-300), weights[name])
+            weights[name] = np.where(all_ > 0, np.minimum(top / np.maximum(all_, 1e-300), HEAVIEST), weights[name])
             weights[name][0] = 0.0
         n1 = sum(r["n1"] for r in sums)
-        weights["w1"] = np.array([min(0.999999, sum(r["s1"] for r in sums) / n1)]) if n1 > 0 else weights["w1"]
+        weights["w1"] = np.array([min(HEAVIEST, sum(r["s1"] for r in sums) / n1)]) if n1 > 0 else weights["w1"]
     return weights
 
 
-def _score(path, bits, weights, n_tokens, distinct, out_fold):
+def _score(path, bits, learn, weights, n_tokens, distinct, out_fold):
     floor = 1.0 / (distinct + 1)
 
     def run(batches):
         totals = Totals(path, bits)
         for part, seq, batch, fold, chunk in _chunks(batches):
-            counts, _ = totals(part, seq, chunk)
+            counts = totals(part, seq, chunk, learned=chunk.counts(np.isin(fold, learn)))["learned"]
             f1, f2, f3, b2, b3 = _estimates(chunk, counts, n_tokens)
             p = weights["w1"][0] * f1 + (1 - weights["w1"][0]) * floor
             p = weights["w2"][b2] * f2 + (1 - weights["w2"][b2]) * p
@@ -262,7 +269,7 @@ def _score(path, bits, weights, n_tokens, distinct, out_fold):
 
 
 def interpolated_scores(documents: DataFrame, folds: int = 5, out_fold: int = 1, weight_fold: int = 0,
-                        chunk_bytes_per_bucket: int = CHUNK_BYTES) -> DataFrame:
+                        text_bytes_per_bucket: int = BUCKET_BYTES) -> DataFrame:
     """Scores of every row of documents (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The fold of a row is crc32 of its doc_id as text, modulo ``folds``. All folds but ``out_fold`` are learned from; the
@@ -275,7 +282,7 @@ def interpolated_scores(documents: DataFrame, folds: int = 5, out_fold: int = 1,
     docs = narrow(documents, doc_id="bigint", text="string").withColumn(
         "fold", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)).cast("int"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, size / chunk_bytes_per_bucket))))
+    bits = max(0, math.ceil(math.log2(max(1, size / text_bytes_per_bucket))))
     learn = [f for f in range(folds) if f != out_fold]
     sent = docs.mapInArrow(_send(bits, learn, weight_fold),
                            "bucket int, part int, seq int, keys binary, learned binary, deleted binary")
@@ -283,10 +290,12 @@ def interpolated_scores(documents: DataFrame, folds: int = 5, out_fold: int = 1,
     sent.groupBy("bucket").applyInArrow(_add_up, TOTALS).repartition("part").write.partitionBy("part").parquet(path)
     totals = spark.read.schema(TOTALS).parquet(path)
     facts = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "tokens", "held_tokens")]).first()
-    held = docs.mapInArrow(_held_out(path, bits, weight_fold, facts.tokens - facts.held_tokens),
-                           "b3 int, b2 int, g3 int, g2 int, g1 int, n long")
-    cells = stage(held.groupBy("b3", "b2", "g3", "g2", "g1").agg(F.sum("n").alias("n")), "held-out-counts")
+    held = docs.mapInArrow(_held_out(path, bits, learn, weight_fold, facts.tokens - facts.held_tokens), "cell long, n long")
+    digits = {"b3": (29, 31), "b2": (24, 31), "g3": (16, 255), "g2": (8, 255), "g1": (0, 255)}
+    cells = stage(held.groupBy("cell").agg(F.sum("n").alias("n")).select(
+        *[F.shiftright("cell", at).bitwiseAND(mask).cast("int").alias(c) for c, (at, mask) in digits.items()], "n"),
+        "held-out-counts")
     weights = learn_weights(cells, 1.0 / (facts.distinct + 1))
-    return docs.mapInArrow(_score(path, bits, weights, facts.tokens, facts.distinct, out_fold),
+    return docs.mapInArrow(_score(path, bits, learn, weights, facts.tokens, facts.distinct, out_fold),
                            "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                            "base_score double, score double")
