@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohorta.llm.text import filled, mixed, narrow, slices
+from kohorta.session import checked_broadcast, materialize
 
 BITS = 16
 UNDETERMINED = "und"
@@ -157,6 +158,7 @@ def learn(documents: DataFrame, sample_per_language: int = 500) -> Model:
     keyed = docs.select("lang", order)
     last = keyed.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_per_language).groupBy(
         "lang").agg(F.max("order").alias("last"))
+    last = checked_broadcast(materialize(last), 10_000)  # one row for each language: the texts stay where they are
     chosen = docs.select("lang", "text", order).join(last, "lang").where("order <= last").drop("last")
     sample = chosen.mapInArrow(_sample_features, "lang string, order long, at array<int>, n array<int>").toArrow()
     rows = sorted(zip(sample["order"].to_pylist(), sample["lang"].to_pylist(), sample["at"], sample["n"]),
