@@ -63,6 +63,19 @@ def test_large_leaf_is_split(spark, monkeypatch):
     assert got == 30
 
 
+def test_large_leaf_is_matched_by_similarity(spark, monkeypatch):
+    """Leaves over the size of a task, with fields that are no numbers, give what whole leaves give."""
+    monkeypatch.setattr(line_dedup, "LEAF_LINES", 5)
+    letters, rng = "abcdefghijklmnopqrst", np.random.default_rng(2)
+    lines = [f"Posted by the user {a}{b} in the forum of today" for a in letters[:6] for b in letters[:10]]
+    lines += [" ".join(["It is a", *(rng.choice([*"uvwxyz"]) for _ in range(n))]) for n in (2, 5, 7, 7, 9) for _ in range(30)]
+    lines += [f"Read all of {a * 2} {b * 2} {c * 2} and so on {a * 3} {b * 3}" for a, b, c in rng.choice([*letters], (40, 3))]
+    rows = [(i, "\n".join([line, lines[i * 7 % len(lines)]])) for i, line in enumerate(lines)]
+    got = without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == brute_lines(rows)
+    assert not [r for r in got if r.doc_id and "Posted by" in r.text]
+
+
 def test_lines_of_nothing(nothing):
     assert without_recurring_lines(nothing).collect() == []
 
