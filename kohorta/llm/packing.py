@@ -1,11 +1,14 @@
 """Packing of documents into sequences by a configuration linear program.
 
 Only the histogram of piece lengths, at most one row for each length, decides. A configuration says how many
-pieces of each length share a sequence; the program asks for as few configurations as cover the histogram. It is solved
-by multiplicative weights: lengths not yet covered weigh more, a knapsack dynamic program over the capacity finds the
-configuration of the largest weight, and its weight bounds the optimum from below. The solution is scaled
-so that no length is covered twice, rounded down, and what is left (bounded by the number of configurations, not by
-the data) is put together by best fit on the histogram. Pieces take their places by their number among the pieces of their
+pieces of each length share a sequence; the program asks for as few configurations as cover the histogram.
+Multiplicative weights come first: lengths not yet covered weigh more, a knapsack dynamic program over the capacity finds
+the configuration of the largest weight, and its weight bounds the optimum from below. The solution is scaled
+so that no length is covered twice, rounded down, and all that is left is put together by best fit on the histogram; with
+thousands of lengths that is most of it. If the result is not within TOLERANCE of the bound, the program is solved by
+column generation until its own bound is met within TOLERANCE, over the lengths or, if they are many, over CLASSES of them
+rounded up to their longest; it is rounded down, what is left (bounded by the number of classes, not by the data) goes to
+best fit, the prices of the classes give another lower bound, and the better plan is taken. Pieces take their places by their number among the pieces of their
 length, so nothing but the histogram reaches the driver.
 """
 
@@ -24,6 +27,7 @@ from kohorta.llm.text import filled, narrow, slices, stage
 from kohorta.llm.tokens import encoder
 
 ROUNDS, STEEPNESS = 200, 4.0
+CLASSES, TOLERANCE = 150, 1e-3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, place long"
 
 
@@ -50,6 +54,89 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), chosen
 
 
+def best_fit(lengths, counts, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations of all pieces, filled with the longest that fit; ``lengths`` are sorted."""
+    plan = []
+    alive = [int(x) for x in lengths[counts > 0]]
+    stock = {int(x): int(n) for x, n in zip(lengths, counts) if n}
+    while alive:
+        room, chosen = capacity, {}
+        while (at := bisect_right(alive, room)) > 0:
+            size = alive[at - 1]
+            while at > 0 and chosen.get(size, 0) >= stock[size]:
+                at -= 1
+                size = alive[at - 1] if at else 0
+            if not at:
+                break
+            chosen[size] = chosen.get(size, 0) + min(stock[size] - chosen.get(size, 0), room // size)
+            room = capacity - sum(k * n for k, n in chosen.items())
+        times = min(stock[k] // n for k, n in chosen.items())
+        plan.append((chosen, times))
+        for k, n in chosen.items():
+            stock[k] -= times * n
+            if not stock[k]:
+                del stock[k]
+                alive.pop(bisect_right(alive, k) - 1)
+    return plan
+
+
+def column_generation(lengths, counts, capacity: int) -> tuple[list[tuple[dict[int, int], float]], np.ndarray]:
+    """The configuration program solved by the simplex method with knapsack pricing, and the price of each length.
+
+    It ends when the bound from the prices, objective / value of the best configuration, is within half the tolerance.
+    """
+    n = len(lengths)
+    columns = np.diag(capacity // lengths).astype(float)
+    wanted = counts * (1 + 1e-7 * np.random.default_rng(0).random(n))  # no ties between rows, so no cycles
+    while True:
+        inverse = np.linalg.inv(columns)
+        often, prices = inverse @ wanted, inverse.sum(axis=0)
+        value, chosen = knapsack(lengths, prices, capacity)
+        if value <= 1 + TOLERANCE / 2:
+            break
+        column = np.zeros(n)
+        column[[*chosen]] = [*chosen.values()]
+        change = inverse @ column
+        rising = change > 1e-9
+        ratio = np.full(n, np.inf)
+        ratio[rising] = np.maximum(often[rising], 0) / change[rising]
+        columns[:, int(ratio.argmin())] = column
+    return [({int(i): int(c[i]) for i in np.flatnonzero(c)}, float(x)) for c, x in zip(columns.T, often)], prices
+
+
+def by_classes(lengths, counts, capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """(plan, lower bound) by column generation over at most CLASSES of the sorted lengths, of about equal tokens."""
+    own = np.arange(len(lengths))
+    if len(lengths) > CLASSES:
+        tokens = np.cumsum(lengths * counts)
+        own = np.unique((tokens - 1) * CLASSES // tokens[-1], return_inverse=True)[1]
+    tops = np.array([lengths[own == c].max() for c in range(own[-1] + 1)])
+    solution, prices = column_generation(tops, np.bincount(own, counts), capacity)
+    prices = np.maximum.accumulate(np.maximum(prices, 0))
+    below = np.append(0.0, prices)[np.searchsorted(tops, lengths, side="right")]
+    bound = max(int(np.ceil(counts @ v / knapsack(lengths, v, capacity)[0] - 1e-6))
+                for v in (np.interp(lengths, tops, prices), below, prices[own]) if v.any())
+    left, plan = counts.copy(), []
+    members = [np.flatnonzero(own == c).tolist() for c in range(len(tops))]
+    for config, often in sorted(solution, key=lambda s: -s[1]):
+        times = int(often + 1e-6)
+        while times:
+            taken: dict[int, int] = {}
+            for c, n in config.items():
+                for i in reversed(members[c]):
+                    if n and left[i]:
+                        taken[i] = min(n, int(left[i]))
+                        n -= taken[i]
+            if not taken:
+                break
+            step = min(times, *(int(left[i]) // n for i, n in taken.items()))
+            for i, n in taken.items():
+                left[i] -= step * n
+            plan.append(({int(lengths[i]): n for i, n in taken.items()}, step))
+            times -= step
+    return plan + best_fit(lengths, left, capacity), bound
+
+
 def configurations(lengths, counts, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[dict[int, int], int]], int]:
     """([({length: pieces of it in a sequence}, number of such sequences)], lower bound on the sequences)."""
     order = np.argsort(lengths)
@@ -73,26 +160,10 @@ def configurations(lengths, counts, capacity: int, rounds: int = ROUNDS) -> tupl
         if times:
             left[at] -= times * often
             plan.append(({int(lengths[i]): int(n) for i, n in zip(at, often)}, times))
-    alive = [int(x) for x in lengths[left > 0]]
-    stock = {int(x): int(n) for x, n in zip(lengths, left) if n}
-    while alive:
-        room, chosen = capacity, {}
-        while (at := bisect_right(alive, room)) > 0:
-            size = alive[at - 1]
-            while at > 0 and chosen.get(size, 0) >= stock[size]:
-                at -= 1
-                size = alive[at - 1] if at else 0
-            if not at:
-                break
-            chosen[size] = chosen.get(size, 0) + min(stock[size] - chosen.get(size, 0), room // size)
-            room = capacity - sum(k * n for k, n in chosen.items())
-        times = min(stock[k] // n for k, n in chosen.items())
-        plan.append((chosen, times))
-        for k, n in chosen.items():
-            stock[k] -= times * n
-            if not stock[k]:
-                del stock[k]
-                alive.pop(bisect_right(alive, k) - 1)
+    plan += best_fit(lengths, left, capacity)
+    if sum(n for _, n in plan) > bound * (1 + TOLERANCE) + 1:
+        other, found = by_classes(lengths, counts, capacity)
+        plan, bound = min(plan, other, key=lambda p: sum(n for _, n in p)), max(bound, found)
     return plan, bound
 
 

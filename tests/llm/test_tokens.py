@@ -103,3 +103,17 @@ def test_token_files_round_trip(spark, tricky, texts):
 def test_token_files_of_nothing(spark, nothing):
     manifest = write_token_files(nothing, scratch_path(spark, "files"))
     assert manifest.count() == 0 and read_token_files(manifest).collect() == []
+
+
+def test_packing_of_many_lengths_comes_close_to_the_bound():
+    """Mean lengths that fill no sequence evenly: triples and pairs must be mixed over all lengths."""
+    lengths = np.arange(1000, 2001)
+    counts = np.random.default_rng(3).integers(150, 250, len(lengths))
+    plan, bound = configurations(lengths, counts, 4096)
+    covered = {}
+    for config, times in plan:
+        assert times > 0 and sum(k * n for k, n in config.items()) <= 4096
+        for k, n in config.items():
+            covered[k] = covered.get(k, 0) + n * times
+    assert covered == dict(zip(lengths.tolist(), counts.tolist()))
+    assert bound > lengths @ counts / 4096 and sum(n for _, n in plan) <= 1.01 * bound
