@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not Path(LOCATION).exists(), reason="given table
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, len(QUERIES) + 1))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
