@@ -11,6 +11,7 @@ from kohorta.llm.langid import identify_language
 from kohorta.llm.line_dedup import without_recurring_lines
 from kohorta.llm.ngram_lm import interpolated_scores
 from kohorta.llm.packing import pack_sequences
+from kohorta.llm.pieces import encode_pieces
 from kohorta.llm.pii import personal_data
 from kohorta.llm.token_files import read_token_files, write_token_files
 from kohorta.llm.topk import exact_top_k
@@ -144,3 +145,12 @@ FROM (SELECT *, regexp_replace(path, '[0-9]+', '<n>', 'g') AS shape FROM u) JOIN
 
 
 ORACLES["op3_url_templates"] = _url_sql()
+
+
+@query
+def op12_piece_spans(spark: SparkSession, location: str) -> DataFrame:
+    found = encode_pieces(read_table(spark, location, "documents"), "piece_bpe_32k.model")
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.array_max("ends").alias("n_bytes"))
