@@ -16,6 +16,8 @@ from kohorta.llm.pii import personal_data
 from kohorta.llm.token_files import read_token_files, write_token_files
 from kohorta.llm.topk import exact_top_k
 from kohorta.llm.url_filter import host_and_path, judge_urls
+from kohorta.llm.vector_codes import compress_vectors
+from kohorta.llm.whitening import whiten
 from kohorta.session import read_table, scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -147,6 +149,11 @@ FROM (SELECT *, regexp_replace(path, '[0-9]+', '<n>', 'g') AS shape FROM u) JOIN
 ORACLES["op3_url_templates"] = _url_sql()
 
 
+@query
+def op11_whitening(spark: SparkSession, location: str) -> DataFrame:
+    return whiten(read_table(spark, location, "embeddings"), components=4, scale=256)
+
+
 @query
 def op12_piece_spans(spark: SparkSession, location: str) -> DataFrame:
     found = encode_pieces(read_table(spark, location, "documents"), "piece_bpe_32k.model")
@@ -154,3 +161,48 @@ def op12_piece_spans(spark: SparkSession, location: str) -> DataFrame:
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), F.array_max("ends").alias("n_bytes"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, location: str) -> DataFrame:
+    coded, books = compress_vectors(read_table(spark, location, "embeddings"), 8, 16, 6, 4096)
+    ordered = F.array_sort(F.collect_list(F.struct("part", "entry", "components")))
+    written = books.agg(F.array_join(F.flatten(F.transform(ordered, lambda b: b["components"])).cast("array<string>"), ","))
+    digits = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return coded.select("vec_id", F.array_join(digits, "").alias("code"), "error", "label_error",
+                        F.sha2(F.lit(written.first()[0]), 256).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    def assigned(i):
+        return f"""a{i} AS MATERIALIZED (SELECT n, part, entry, d FROM (
+    SELECT p.n, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x)) AS d FROM p JOIN b{i} b ON p.part = b.part AND p.j = b.j GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY n, part ORDER BY d, entry) = 1)"""
+    steps = []
+    for i in range(rounds):
+        steps.append(assigned(i))
+        steps.append(f"""s{i} AS (SELECT a.part, a.entry, p.j, sum(p.x) AS s, count(*) AS c
+  FROM a{i} a JOIN p ON a.n = p.n AND a.part = p.part GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.j, CAST(CASE WHEN c IS NULL THEN b.x ELSE (s - ((s % c) + c) % c) // c END AS BIGINT) AS x
+  FROM b{i} b LEFT JOIN s{i} s ON b.part = s.part AND b.entry = s.entry AND b.j = s.j)""")
+    return f"""
+WITH r AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS n, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT CAST(greatest(1, ceil(max(len(embedding)) / {parts}.0)) AS BIGINT) AS width FROM r),
+l AS (SELECT n, width, unnest(range(width * {parts})) AS k,
+  unnest(list_concat(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)),
+    list_transform(range(width * {parts} - len(embedding)), lambda x: CAST(0 AS BIGINT)))) AS x FROM r, w),
+p AS MATERIALIZED (SELECT n, k // width AS part, k % width AS j, x FROM l),
+e AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS entry FROM (
+  SELECT n, row_number() OVER (PARTITION BY vec_id ORDER BY list_concat(list_transform(embedding,
+    lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)), [CAST(0 AS BIGINT)])) AS copy FROM r) WHERE copy = 1 ORDER BY n LIMIT {entries}),
+b0 AS MATERIALIZED (SELECT part, entry, j, x FROM e JOIN p ON e.n = p.n),
+{", ".join(steps)},
+{assigned(rounds)},
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM b{rounds}),
+o AS (SELECT n, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, sum(d) AS error FROM a{rounds} GROUP BY n)
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM o JOIN r ON o.n = r.n, h"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
