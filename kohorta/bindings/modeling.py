@@ -12,11 +12,22 @@ from kohorta.bindings.evaluation import r
 from kohorta.bindings.pipelines import feature_matrix
 from kohorta.bindings.registry import query
 from kohorta.bindings.shared import GAPPED_SQL, TERMS_SQL, gapped_part, term_table
-from kohorta.operators import impute, models, screen
+from kohorta.operators import forest, impute, models, paths, screen
 from kohorta.plans import modeling
 from kohorta.session import materialize
 
 DIMS = [f"d{i}" for i in range(64)]
+_staged: dict = {}
+
+
+def staged(build):
+    """A result that several queries read is made once per session and location; it is a checkpoint in the shared folder."""
+    def run(t):
+        key = build.__name__, t.spark.sparkContext.applicationId, t.location
+        if key not in _staged:
+            _staged[key] = build(t)
+        return _staged[key]
+    return run
 
 
 def vectors(t):
@@ -79,38 +90,46 @@ def impute_mean(t):
     return r(impute.impute_mean(df, ["p_size", "p_retailprice"], "p_type").drop("p_type"))
 
 
-def holed_vectors(t, columns):
-    """Vectors with a hole where a value is far out, so holes depend on the data."""
-    full = vectors(t).select("vec_id", "mk", *columns)
-    return full.withColumns({c: F.when(F.col(c) < 0.15, F.col(c)) for c in columns[:3]})
-
-
-PMM_COLUMNS = DIMS[:8]
+def holed_vectors(t):
+    """Vectors with a hole where a value is far out, so holes depend on the data; every column has some."""
+    return vectors(t).withColumns({c: F.when(F.col(c) < 0.15, F.col(c)) for c in DIMS})
 
 
 @query("impute_pmm")
 def impute_pmm(t):
-    return impute.impute_pmm(holed_vectors(t, PMM_COLUMNS), "vec_id", PMM_COLUMNS, sweeps=2)
+    return impute.impute_pmm(holed_vectors(t), "vec_id", DIMS)
 
 
-@query("impute_pmm_audit", " union all ".join(
-    f"select 'd{i}' as feature, count(*) filter (where embedding[{i + 1}]::double >= 0.15) as filled, 0::bigint as still_missing, 0::bigint as foreign_values, 0::bigint as changed from embeddings"
-    for i in range(3)))
+@query("impute_pmm_audit", """
+with cells as (select unnest(range(64)) as i, unnest(embedding)::double as v from embeddings)
+select 'd' || i as feature, count(*) filter (where v >= 0.15) as filled, 0::bigint as still_missing, 0::bigint as foreign_values,
+  0::bigint as changed from cells group by i""")
 def impute_pmm_audit(t):
-    """Per feature with holes: how many were filled, and that donors are observed values and observed
-    values stay."""
-    holed = materialize(holed_vectors(t, PMM_COLUMNS))
-    done = materialize(impute.impute_pmm(holed, "vec_id", PMM_COLUMNS, sweeps=1))
-    parts = []
-    for c in PMM_COLUMNS[:3]:
-        seen = holed.select(F.col(c).alias("now"), F.lit(1).alias("seen")).where("now is not null").distinct()
-        both = done.select("vec_id", F.col(c).alias("now")).join(holed.select("vec_id", F.col(c).alias("was")), "vec_id")
-        parts.append(both.join(seen, "now", "left").agg(
-            F.lit(c).alias("feature"), F.count_if(F.col("was").isNull() & F.col("now").isNotNull()).alias("filled"),
-            F.count_if(F.col("now").isNull()).alias("still_missing"),
-            F.count_if(F.col("now").isNotNull() & F.col("seen").isNull()).alias("foreign_values"),
-            F.count_if(F.col("was") != F.col("now")).alias("changed")))
-    return reduce(DataFrame.unionByName, parts)
+    """Per feature: how many holes were filled, that donors are observed values, and that observed values stay."""
+    tables = (holed_vectors(t).drop("mk"), "was"), (impute_pmm(t).drop("mk"), "now")
+    long = [df.unpivot(["vec_id"], DIMS, "feature", name) for df, name in tables]
+    seen = long[0].where("was is not null").select("feature", F.col("was").alias("now")).distinct().withColumn("seen", F.lit(1))
+    both = long[0].join(long[1], ["vec_id", "feature"]).join(seen, ["feature", "now"], "left")
+    return both.groupBy("feature").agg(
+        F.count_if(F.col("was").isNull() & F.col("now").isNotNull()).alias("filled"),
+        F.count_if(F.col("now").isNull()).alias("still_missing"),
+        F.count_if(F.col("now").isNotNull() & F.col("seen").isNull()).alias("foreign_values"),
+        F.count_if(F.col("was") != F.col("now")).alias("changed"))
+
+
+@query("nearest_donors", """
+with cases as (select label as grp, vec_id, round(embedding[1]::double, 3) as prediction, case when embedding[2] < 0.05 then embedding[2]::double end as value from embeddings),
+placed as (select *, count(value) over (partition by grp order by prediction, (value is null)::int, vec_id rows unbounded preceding) as place from cases),
+pairs as (select a.grp, a.vec_id, b.value, row_number() over (partition by a.grp, a.vec_id order by abs(b.prediction - a.prediction), b.place) - 1 as rank,
+  count(*) over (partition by a.grp, a.vec_id) as found from placed a join placed b on a.grp = b.grp and a.value is null and b.value is not null
+    and b.place between a.place - 4 and a.place + 5)
+select grp, vec_id, value from pairs
+where rank = floor(('0x' || substr(md5(concat_ws('|', vec_id, grp, 11)), 1, 13))::bigint / 4503599627370496.0 * least(found, 5))""")
+def nearest_donors(t):
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    cases = t.embeddings.select(F.col("label").alias("grp"), "vec_id", F.round(e(0), 3).alias("prediction"),
+                                F.when(e(1) < 0.05, e(1)).alias("value"))
+    return impute.nearest_donors(cases, "vec_id", 5, 11, keys=["grp"])
 
 
 @query("design_matrix", "select vec_id, label < 5 as mk, embedding[1]::double as d0, embedding[2]::double as d1, round(embedding[1]::double * embedding[2]::double, 12) as \"d0:d1\" from embeddings")
@@ -119,59 +138,102 @@ def design_matrix(t):
     return out.withColumn("d0:d1", F.round("d0:d1", 12))
 
 
-TERMS = [*DIMS[:10], "d0:d1", "d2:d5"]
+TERMS = [*DIMS, "d0:d1", "d2:d5"]
+NOISE = "2 * embedding[{0}]::double - embedding[{1}]::double + embedding[{2}]::double + (label - 4.5) / 15 > 0"
+SIGNAL_SQL = f"signal as (select vec_id, ({NOISE.format(1, 2, 3)})::int as y, embedding from embeddings)"
+
 
+def signal(t):
+    """Vectors under a label that some of their dimensions tell, with noise from the given label."""
+    mk = 2 * F.col("d0") - F.col("d1") + F.col("d2") + (F.col("label") - 4.5) / 15 > 0
+    return vectors(t).join(t.embeddings.select("vec_id", "label"), "vec_id").withColumn("mk", mk).drop("label")
 
-def assembled(t, terms):
-    return materialize(models.assemble(models.design_matrix(vectors(t), terms, ["vec_id", "mk"]), terms, "vec_id", "mk"))
 
+RUNS, FOLDS = 100, 10
 
-def _scores(model, rows):
-    return models._score(model, rows, type(model).__name__).withColumn("predicted", F.round("predicted", 6))
+
+@staged
+def out_of_fold(t):
+    """Both classifiers at their defaults on all dimensions: 100 runs, 10 folds, 10 inner folds, 20 penalties, 100 trees."""
+    return models.repeated_oof(signal(t), "vec_id", "mk", TERMS, RUNS, FOLDS, importance=True)
 
 
 @query("lasso_cv")
 def lasso_cv(t):
-    rows = assembled(t, TERMS)
-    return _scores(models.lasso_cv(rows, len(TERMS), folds=3, path=6), rows)
+    fit = models.lasso_cv(signal(t), "vec_id", "mk", TERMS)
+    names = F.array(F.lit("(Intercept)"), *[F.lit(x) for x in TERMS]).alias("term")
+    values = F.concat(F.array("intercept"), F.col("coefficients")).alias("coefficient")
+    return fit.select("penalty", F.explode(F.arrays_zip(names, values)).alias("c")).select("c.term", "c.coefficient", "penalty")
+
+
+DEALT_SQL = """
+dealt as (select vec_id, y, run, (no - 1) % 10 as fold from (select vec_id, y, run, row_number() over (
+  partition by run order by substr(md5(concat_ws('|', vec_id, run, 'fold', 0)), 1, 13), vec_id) as no from signal, range(1, 101) r(run)))"""
+
+
+@query("lasso_audit", f"""
+with {SIGNAL_SQL}, {DEALT_SQL},
+cells as (select vec_id, unnest(range(66)) as j, unnest(list_concat(embedding::double[], [embedding[1]::double * embedding[2]::double, embedding[3]::double * embedding[6]::double])) as x from embeddings),
+parts as (select run, fold, j, count(*) as n, sum(y) as s, sum(x) as sx, sum(x * x) as sxx, sum(x * y) as sxy from dealt join cells using (vec_id) group by all),
+whole as (select run, j, sum(n) as n, sum(s) as s, sum(sx) as sx, sum(sxx) as sxx, sum(sxy) as sxy from parts group by all),
+train as (select p.run, p.fold, w.n - p.n as n, w.s - p.s as s, w.sx - p.sx as sx, w.sxx - p.sxx as sxx, w.sxy - p.sxy as sxy from parts p join whole w on p.run = w.run and p.j = w.j)
+select run::int as run, fold::int as fold, max(n)::bigint as rows, max(s)::bigint as events, round(max(abs(sxy / n - sx / n * s / n) / sqrt(sxx / n - sx / n * sx / n)), 7) as top,
+  true as optimal from train group by run, fold""")
+def lasso_audit(t):
+    """Per run and fold: rows and events fitted on, the first penalty of the path, and whether the returned model meets the optimality
+    conditions of its own penalty, recomputed from the rows."""
+    done, rows = out_of_fold(t), signal(t)
+    dealt = paths.deal_runs(rows.select("vec_id", "mk"), "vec_id", "mk", list(range(1, RUNS + 1)), FOLDS, 10)
+    design = models.design_matrix(rows, TERMS, ["vec_id"])
+    checked = paths.optimality(design, dealt, done.fitted, "vec_id", TERMS)
+    return checked.join(done.fitted.select("run", "fold", "top"), ["run", "fold"]).select(
+        "run", "fold", "rows", "events", F.round("top", 7).alias("top"), (F.col("gap") <= 1e-3).alias("optimal"))
 
 
 @query("rf_balanced")
 def rf_balanced(t):
-    rows = assembled(t, DIMS)
-    return _scores(models.rf_balanced(rows, len(DIMS)), rows)
+    return models.rf_balanced(signal(t), "vec_id", "mk", DIMS)
 
 
-@query("permutation_importance")
-def permutation_importance(t):
-    rows = models.with_folds(assembled(t, DIMS), "patient", 4, seed=0)
-    forest = models.rf_balanced(rows.where("fold <> 0"), len(DIMS))
-    return models.permutation_importance(forest, rows.where("fold = 0"), DIMS)
+@query("forest_draws", f"""
+with {SIGNAL_SQL}, {DEALT_SQL.replace("range(1, 101)", "range(1, 2)")},
+placed as (select *, row_number() over (partition by y order by fold, substr(md5(concat_ws('|', vec_id, run, 'place', 0)), 1, 13), vec_id) as place from dealt),
+sizes as (select y, fold, count(*) as n, min(place) - 1 as start from placed group by all),
+wanted as (select f.fold, t.y, tree, draw, t.total, coalesce(n, 0) as n, coalesce(start, 0) as start from (select distinct fold from placed) f
+  cross join (select y, count(*) as total from placed group by y) t cross join range(100) a(tree) cross join range(10) b(draw) left join sizes s on s.y = t.y and s.fold = f.fold),
+hits as (select *, floor(('0x' || substr(md5(concat_ws('|', 1, fold, tree, y, draw, 0)), 1, 13))::bigint / 4503599627370496.0 * (total - n)) as hit from wanted)
+select fold::int as fold, tree::int as tree, h.y, draw::int as draw, vec_id from (select *, (case when hit < start then hit + 1 else hit + 1 + n end)::bigint as place from hits) h
+join placed p on p.y = h.y and p.place = h.place""".replace("p.y = h.y", "p.y = h.y").replace("select fold::int", "select h.fold::int"))
+def forest_draws(t):
+    """The draws of one run: 10 rows of either class outside the fold, for each of 100 trees of 10 folds."""
+    dealt = paths.deal_runs(signal(t).select("vec_id", "mk"), "vec_id", "mk", [1], FOLDS, 10)
+    return forest.draws(forest.place_rows(dealt, "vec_id"), "vec_id").select("fold", "tree", "y", "draw", "vec_id")
 
 
-QUICK = {"folds": 2, "inner_folds": 2, "path": 3}
+@query("permutation_importance")
+def permutation_importance(t):
+    return models.importance_summary(out_of_fold(t).importance)
 
 
 @query("repeated_oof")
 def repeated_oof(t):
-    table, _, _ = models.repeated_oof(vectors(t), "vec_id", "mk", TERMS, runs=2, trees=20, **QUICK)
-    return table
+    return out_of_fold(t).scores
 
 
-@query("repeated_oof_audit", """
-select 1 as run, model, count(*) as scored, count(distinct vec_id) as patients, count(*) filter (where label < 5) as events, 0::bigint as outside
-from embeddings, (select unnest(['lasso', 'forest']) as model) group by model""")
+@query("repeated_oof_audit", f"""
+with {SIGNAL_SQL}, {DEALT_SQL}
+select run::int as run, fold::int as fold, model, count(*) as scored, count(distinct vec_id) as patients, sum(y)::bigint as events, 0::bigint as outside
+from dealt, (select unnest(['lasso', 'forest']) as model) group by run, fold, model""")
 def repeated_oof_audit(t):
-    """Every patient is scored once per run and model, under its own label, with a probability."""
-    table, _, _ = models.repeated_oof(vectors(t), "vec_id", "mk", TERMS, runs=1, trees=10, **QUICK)
-    return table.groupBy("run", "model").agg(
+    """Every patient is scored once per run and model, in its own fold, under its own label, with a probability."""
+    return out_of_fold(t).scores.groupBy("run", "fold", "model").agg(
         F.count(F.lit(1)).alias("scored"), F.countDistinct("patient").alias("patients"),
         F.count_if("label").alias("events"), F.count_if(~F.col("predicted").between(0.0, 1.0)).alias("outside"))
 
 
 @query("label_permutation_null")
 def label_permutation_null(t):
-    return models.label_permutation_null(vectors(t), "vec_id", "mk", TERMS, runs=2, **QUICK)
+    return models.label_permutation_null(signal(t), "vec_id", "mk", TERMS, RUNS, FOLDS).metrics
 
 
 @query("permute_labels", """
@@ -200,8 +262,14 @@ def screen_and_select(t):
 
 @query("model_evaluation")
 def model_evaluation(t):
-    terms = ["click_mean", "error_mean", "active_max", "share_F_mean", "balance", "click_mean:error_mean"]
-    done = modeling.model_evaluation(matrix(t), "user_id", "mk", terms, runs=2, sweeps=1, trees=20, **QUICK)
-    reports = {"metrics": done.metrics.select("model", "run", "auc"),
-               "curve": done.curve.select("model", F.col("grid_no").alias("run"), F.col("tpr").alias("auc"))}
-    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("report"), "*") for n, df in reports.items()])
+    """Chosen terms of the flagship's matrix, 100 imputed runs, every report in long form: report, item, value."""
+    rows = matrix(t)
+    chosen = modeling.screen_and_select(rows, "user_id", "mk").ranked.select("term").collect()  # at most 58
+    done = modeling.model_evaluation(rows, "user_id", "mk", sorted(r[0] for r in chosen), RUNS)
+    parts = []
+    for name, df in done.reports.items():
+        numbers = [c for c, k in df.dtypes if k in ("double", "float", "bigint", "int") and c not in ("run", "grid_no", "patient")]
+        item = F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns if c not in numbers])
+        parts.append(df.select(F.lit(name).alias("report"), item.alias("item"), *[F.col(c).cast("double").alias(c) for c in numbers]).unpivot(
+            ["report", "item"], numbers, "measure", "value"))
+    return reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -38,14 +39,17 @@ def within_after(events: DataFrame, anchors: DataFrame, patient: str, date: str,
     return events.join(dated, patient).where(hit).select(*keys).distinct()
 
 
-def ordered_pairs(names: DataFrame, column: str, right_names: DataFrame | None = None) -> DataFrame:
+def ordered_pairs(names: DataFrame, column: str, right_names: DataFrame | None = None, tile: int = 1000) -> DataFrame:
     """All pairs a < b of a dictionary of names, for instance feature names.
 
-    The dictionary travels as one array and is expanded beside each name in the same task.
+    The right names are dealt into tiles of about ``tile`` names and every left name visits each tile, so a pair is met
+    by an equi join on the tile and no row or task holds the dictionary.
     """
-    right = (right_names or names).agg(F.sort_array(F.collect_set(column)).alias("r"))
-    listed = names.select(F.col(column).alias("a"), right.select("r").scalar().alias("r"))
-    return listed.select("a", F.explode("r").alias("b")).where("a < b")
+    right = (right_names or names).select(F.col(column).alias("b")).where("b is not null").distinct()
+    tiles = max(1, math.ceil(right.count() / tile))
+    right = right.withColumn("tile", F.pmod(F.xxhash64("b"), F.lit(tiles)))
+    left = names.select(F.col(column).alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint"))).alias("tile"))
+    return left.join(right, "tile").where("a < b").select("a", "b")
 
 
 def join_list_column(left: DataFrame, right: DataFrame, list_column: str, key: str) -> DataFrame:
@@ -54,9 +58,9 @@ def join_list_column(left: DataFrame, right: DataFrame, list_column: str, key: s
         c for c in right.columns if c != list_column]), key)
 
 
-def join_star(base: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]], verify: bool = False) -> DataFrame:
+def join_star(base: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]], verify: bool = True) -> DataFrame:
     """Left-join feature tables of different grain. Each must be unique in its keys, so the base
-    never fans out; ``verify`` counts first and refuses a part that is not."""
+    never fans out; ``verify`` counts first and refuses a part that is not. Parts just grouped by their keys need no count."""
     for part, on in parts:
         if verify and not part.groupBy(*on).count().where("count > 1").isEmpty():
             raise ValueError(f"feature table is not unique in {list(on)}")

@@ -70,9 +70,9 @@ def values_and_trends(values: DataFrame, keys: Sequence[str], key: str, order: S
 
 
 def dated_features(matrix: DataFrame, patient: Sequence[str], order: Sequence[str], names: Sequence[str],
-                   parts: Sequence[tuple[DataFrame, Sequence[str]]], splits: int | None = None) -> DataFrame:
-    """Values per key carried forward, joined with feature tables of any grain."""
-    return join_star(locf(matrix, patient, order, names, splits), parts)
+                   parts: Sequence[tuple[DataFrame, Sequence[str]]], splits: int | None = None, verify: bool = True) -> DataFrame:
+    """Values per key carried forward, joined with feature tables of any grain, each checked for unique keys on demand."""
+    return join_star(locf(matrix, patient, order, names, splits), parts, verify)
 
 
 def patient_features(dated: DataFrame, keys: Sequence[str], date: str, event: str, clipped: Sequence[str],
