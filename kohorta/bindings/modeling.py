@@ -150,6 +150,9 @@ def signal(t):
 
 
 RUNS, FOLDS = 100, 10
+#: Queries over many runs, which take minutes however small the table is.
+LONG = ["impute_pmm", "impute_pmm_audit", "repeated_oof", "repeated_oof_audit", "lasso_audit", "permutation_importance", "label_permutation_null",
+        "model_evaluation"]
 
 
 @staged
