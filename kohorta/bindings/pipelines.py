@@ -12,6 +12,7 @@ from kohorta.bindings.registry import query
 from kohorta.bindings.shared import (EVENT_DATES, EVENT_TYPES, MEASUREMENTS_SQL, URGENT_SQL, USER_EVENTS_SQL,
                                      measurements, order_days, urgent_dates, user_events)
 from kohorta.bindings.temporal import TRENDS_SQL
+from kohorta.functions.columns import clean_name, sanitize_columns
 from kohorta.plans import cohort as co
 from kohorta.plans import features as fe
 from kohorta.plans import medication as me
@@ -99,13 +100,17 @@ def onset_table(t):
 select Pat_Nr as "Patient_ID", case when fixed then 1.0 else sex end as "Geschlecht", round(case when fixed then 0.5 else age end, 8) as "Age",
   round(case when fixed then 0.25 else onset end, 8) as "Age_of_onset" from raw""")
 def age_table(t):
+    return r(ages(t))
+
+
+def ages(t):
     records = patients(t)
     members = records.select(
         F.col("Pat_Nr").alias("Patient_ID"), F.when(F.col("Vorname") == "FURNITURE", "weiblich").otherwise("männlich").alias("Geschlecht"),
         "Geburtsdatum", (2000 + F.length("Vorname")).cast("string").alias("Diagnose_Jahr"))
     corrected = records.where("Vorname = 'BUILDING'").select(
         F.col("Pat_Nr").alias("Patient_ID"), F.lit(1.0).alias("Geschlecht"), F.lit(0.5).alias("Age"), F.lit(0.25).alias("Age_of_onset"))
-    return r(co.age_table(members, dt.date(2021, 11, 23), corrected))
+    return co.age_table(members, dt.date(2021, 11, 23), corrected)
 
 
 @query("onset_decades", f"""with {ONSET_SQL}, g as (select (floor(onset_age / 10) * 10)::bigint as onset_decade, Gender, grp, count(*) as cnt from members group by 1, 2, 3)
@@ -326,7 +331,7 @@ def dated(t):
     parts = [(active_in_window(days, "user_id", "day", "active"), ["user_id", "day"]),
              (encounter_day_count(days, "user_id", "day", "encounter_days"), ["user_id"]), (shares, ["user_id"]),
              (accounts, ["user_id"]), (user_events(t), ["user_id"])]
-    return fe.dated_features(matrix, ["user_id"], ["day"], EVENT_TYPES, parts, splits=1, verify=False)  # grouped by their keys
+    return fe.dated_features(matrix, ["user_id"], ["day"], EVENT_TYPES, parts, splits=1)
 
 
 DATED_SQL = f"""{TRENDS_SQL}, {USER_EVENTS_SQL},
@@ -367,3 +372,101 @@ FEATURES_SQL = (f"with {DATED_SQL}, early as (select * from dated where event_da
 @query("patient_features", FEATURES_SQL)
 def patient_features(t):
     return r(feature_matrix(t), 7)
+
+
+# ---- features by encounter: the line items as measurements, all parts at their own grain ------------
+
+KEYS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+KEY_TRENDS = [f"{m}_{k}" for m in ("trend_abs", "trend") for k in KEYS]
+TREATMENTS = ["basic", "special"]
+BY_DAY = [*KEYS, "active", *TREATMENTS, "cnt_stat"]
+BY_PATIENT = ["Geschlecht", "Age", "Age_of_onset", "cnt_Encounters_days", *PATH_NAMES, *me.CLASSES]
+
+
+def encounter_values(t):
+    """Measurements of an encounter: its line items, by type of part, on the day shipped."""
+    from kohorta.bindings.sources import LINE_ORDER
+    lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(
+        t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select(F.col("o_custkey").alias("Patient_ID"), F.col("l_orderkey").alias("Encounter"),
+                        F.to_date("l_shipdate").alias("Date"), F.col("p_type").alias("key"), *LINE_ORDER)
+
+
+def cohort_events(t):
+    events = urgent_dates(t).select(F.col("o_custkey").alias("Patient_ID"), *EVENT_DATES)
+    return cohort(t).select("Patient_ID", "mk").join(events, "Patient_ID", "left")
+
+
+def patient_parts(t):
+    """Age, days with an encounter, care paths and medication classes: one row per patient each."""
+    days = t.orders.select(F.col("o_custkey").alias("Patient_ID"), F.to_date("o_orderdate").alias("day"))
+    classes = medication_classes(t).withColumnRenamed("Pat_Nr", "Patient_ID").drop("Wirkstoffe")
+    paths = fe.care_paths(encounter_attributes(t), PATH_NAMES).toDF("Patient_ID", *PATH_NAMES)
+    return [(part, ["Patient_ID"]) for part in (
+        ages(t), encounter_day_count(days, "Patient_ID", "day", "cnt_Encounters_days"), paths, classes)]
+
+
+def encounter_dated(t, parts=()):
+    from kohorta.bindings.sources import LINE_ORDER
+    by_encounter = [(treatment_flags(t), ["Patient_ID", "Encounter"]), (fe.stay_counts(encounter_attributes(t)), ["Patient_ID", "Encounter"])]
+    return fe.encounter_features(encounter_values(t), cohort_events(t), [*by_encounter, *parts], "key",
+                                 ["Date", "Encounter", *LINE_ORDER], "Date", "l_quantity", KEYS)
+
+
+ENCOUNTER_SQL = f"""{COHORT_SQL}, {MEDICATION_SQL},
+vals as (select o_custkey as "Patient_ID", l_orderkey as "Encounter", l_shipdate::date as "Date", p_type as key, l.*
+  from lineitem l join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey),
+lagged as (select *, l_quantity - lag(l_quantity) over w as diff, "Date" - lag("Date") over w as days from vals
+  window w as (partition by "Patient_ID", key order by "Date", "Encounter", l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)),
+daily as (select "Patient_ID", "Encounter", "Date", {', '.join(f"avg(case when key = '{k}' then l_quantity end) as {k}" for k in KEYS)} from vals group by 1, 2, 3),
+trend_rows as (select "Patient_ID", "Encounter", "Date", {', '.join(f"coalesce(avg(case when key = '{k}' then {e} end), 0) as {m}_{k}" for m, e in (("trend_abs", "coalesce(diff, 0)"), ("trend", "coalesce(diff / nullif(days, 0), 0)")) for k in KEYS)}
+  from lagged where not (coalesce(days, 1) = 0 and coalesce(diff, 0) <> 0) group by 1, 2, 3),
+filled_days as (select "Patient_ID", "Encounter", "Date", {', '.join(f"last_value({k} ignore nulls) over w as {k}" for k in KEYS)} from daily
+  window w as (partition by "Patient_ID" order by "Date", "Encounter" rows between unbounded preceding and current row)),
+value_days as (select distinct "Patient_ID", "Date" from daily),
+steps as (select "Patient_ID", "Date", 1 as d from value_days union all select "Patient_ID", ("Date" + interval 6 month)::date, -1 from value_days),
+active as (select "Patient_ID", "Date", sum(d) over (partition by "Patient_ID" order by "Date") / 365 as active from (select "Patient_ID", "Date", sum(d) as d from steps group by 1, 2)),
+treated as (select l_orderkey as "Encounter", max((p_type in ('ECONOMY', 'SMALL'))::int) as basic, max((p_type = 'PROMO')::int) as special
+  from lineitem join part on l_partkey = p_partkey where p_type in ('ECONOMY', 'SMALL', 'PROMO') group by 1),
+stays as (select o_orderkey as "Encounter", (sum((o_orderstatus = 'F')::int) over w)::bigint as cnt_stat, (sum((o_orderstatus <> 'F')::int) over w)::bigint as cnt_amb
+  from orders where o_orderpriority <> '5-LOW' window w as (partition by o_custkey order by o_orderdate::date, o_orderkey rows unbounded preceding)),
+raw_ages as (select Pat_Nr, Vorname = 'BUILDING' as fixed, (Vorname = 'FURNITURE')::int::double as sex,
+  floor(datediff('day', Geburtsdatum::date, date '2021-11-23') / 365) / 100 as age, (2000.0 + length(Vorname) - year(Geburtsdatum::date)) / 100 as onset from patients),
+ages as (select Pat_Nr, case when fixed then 1.0 else sex end as "Geschlecht", case when fixed then 0.5 else age end as "Age", case when fixed then 0.25 else onset end as "Age_of_onset" from raw_ages),
+visits as (select o_custkey, count(distinct o_orderdate::date) / 365 as "cnt_Encounters_days" from orders group by 1),
+path_counts as (select o_custkey, o_orderstatus || ', ' || o_orderpriority[1] as path, count(*) as cnt from orders group by 1, 2),
+path_shares as (select o_custkey, path, cnt / sum(cnt) over (partition by o_custkey) as share from path_counts),
+paths as (select o_custkey, {', '.join(f"coalesce(max(case when path = '{p}' then share end), 0.0::double) as " + chr(34) + p + chr(34) for p in PATH_NAMES)} from path_shares group by 1),
+taken as (select Pat_Nr, {', '.join(f'max((Klasse = {chr(39)}{c}{chr(39)})::int) as "{c}"' for c in me.CLASSES)} from filled join urgent on Pat_Nr = o_custkey where Klasse <> '' and (d3 is null or Datum < d3) group by 1),
+mk_info as (select c.Patient_ID as id, c.mk, d1, d2, d3 from cohort c left join urgent on o_custkey = c.Patient_ID),
+by_day as (select f.*, {', '.join(KEY_TRENDS)}, active, basic, special, cnt_stat, cnt_amb, mk, d1, d2, d3
+  from filled_days f join mk_info on f."Patient_ID" = id left join trend_rows v on v."Patient_ID" = f."Patient_ID" and v."Encounter" = f."Encounter" and v."Date" = f."Date"
+  left join active a on a."Patient_ID" = f."Patient_ID" and a."Date" = f."Date" left join treated e on e."Encounter" = f."Encounter" left join stays s on s."Encounter" = f."Encounter")
+"""
+PATIENT_JOINS = "left join ages on ages.Pat_Nr = b.\"Patient_ID\" left join visits on visits.o_custkey = b.\"Patient_ID\" left join paths on paths.o_custkey = b.\"Patient_ID\" left join taken on taken.Pat_Nr = b.\"Patient_ID\""
+
+
+def _listed(names, digits=7, places=("Geschlecht", "Age", "Age_of_onset", "cnt_Encounters_days", *PATH_NAMES)):
+    """Select list of the result; fractions are compared rounded."""
+    return ", ".join(f'round("{c}"::double, {digits}) as "{clean_name(c)}"' if c in places or c not in BY_PATIENT
+                     else f'"{c}" as "{clean_name(c)}"' for c in names)
+
+
+@query("encounter_features", f"with {ENCOUNTER_SQL} select b.\"Patient_ID\", \"Encounter\", \"Date\", mk, d1, d2, d3, basic, special, cnt_stat, cnt_amb, "
+       + _listed([*KEYS, *KEY_TRENDS, "active", *BY_PATIENT]) + f" from by_day b {PATIENT_JOINS}")
+def encounter_features(t):
+    return r(sanitize_columns(encounter_dated(t, patient_parts(t))), 7)
+
+
+ENCOUNTER_STATS = [f"{c}_{s}" for c in [*KEY_TRENDS, *BY_DAY] for s in STAT_NAMES]
+
+
+@query("encounter_patient_features", f"with {ENCOUNTER_SQL}, early as (select * from by_day where d1 is null or \"Date\" < d1), "
+       + f"clipped as ({six_sql(KEY_TRENDS, True, 'early', keys=chr(34) + 'Patient_ID' + chr(34), order='row(' + chr(34) + 'Date' + chr(34) + ', ' + chr(34) + 'Encounter' + chr(34) + ')')}), "
+       + f"plain as ({six_sql([*BY_DAY, 'cnt_amb'], False, 'early', keys=chr(34) + 'Patient_ID' + chr(34) + ', mk, d1, d2, d3', order='row(' + chr(34) + 'Date' + chr(34) + ', ' + chr(34) + 'Encounter' + chr(34) + ')')}) "
+       + "select b.\"Patient_ID\", b.mk, b.d1, b.d2, b.d3, round(cnt_amb_min::double, 7) as cnt_amb, " + _listed([*ENCOUNTER_STATS, *BY_PATIENT])
+       + f" from plain b join clipped c on c.\"Patient_ID\" = b.\"Patient_ID\" {PATIENT_JOINS}")
+def encounter_patient_features(t):
+    out = fe.encounter_patient_features(encounter_dated(t), ["Patient_ID", "mk", *EVENT_DATES], "Date", "d1", KEY_TRENDS, BY_DAY,
+                                        ["cnt_amb"], patient_parts(t))
+    return r(out, 7)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohorta.functions.columns import shared_columns
@@ -58,11 +58,26 @@ def join_list_column(left: DataFrame, right: DataFrame, list_column: str, key: s
         c for c in right.columns if c != list_column]), key)
 
 
-def join_star(base: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]], verify: bool = True) -> DataFrame:
+def refuse_doubled_keys(part: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``part`` with a check inside its plan: the job fails when a key comes a second time.
+
+    The running number needs the part dealt and sorted by its keys, which the sort-merge join after it needs as well, and
+    holds no rows back. Rows with a missing key match nothing and are left out.
+    """
+    number = F.row_number().over(Window.partitionBy(*on).orderBy(*on))
+    text = F.concat(F.lit(f"feature table is not unique in {list(on)}: "), F.to_json(F.struct(*on)))
+    once = F.when(F.col("__number") > 1, F.raise_error(text).cast("boolean")).otherwise(F.lit(True))
+    return part.dropna(subset=list(on)).withColumn("__number", number).where(once).drop("__number")
+
+
+def join_star(base: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]], verify: bool | str = True) -> DataFrame:
     """Left-join feature tables of different grain. Each must be unique in its keys, so the base
-    never fans out; ``verify`` counts first and refuses a part that is not. Parts just grouped by their keys need no count."""
+    never fans out; ``verify`` counts first and refuses a part that is not. With ``verify="plan"`` the parts are
+    checked while they are joined, without a job of their own."""
     for part, on in parts:
-        if verify and not part.groupBy(*on).count().where("count > 1").isEmpty():
+        if verify == "plan":
+            part = refuse_doubled_keys(part, on)
+        elif verify and not part.groupBy(*on).count().where("count > 1").isEmpty():
             raise ValueError(f"feature table is not unique in {list(on)}")
         base = base.join(part, on=list(on), how="left")
     return base

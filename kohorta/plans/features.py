@@ -11,10 +11,11 @@ from kohorta.functions.columns import sanitize_columns
 from kohorta.functions.dates import before_event, parse_dmy
 from kohorta.functions.text import concat_path
 from kohorta.operators.aggregates import keep_constants, ratio_to_total, six_stat_summary
-from kohorta.operators.joins import join_lookup, join_star
+from kohorta.operators.joins import join_lookup, join_star, refuse_doubled_keys
 from kohorta.operators.ordered import running_sums
 from kohorta.operators.reshape import pivot_attr, pivot_multi, pivot_onehot, pivot_share
-from kohorta.operators.temporal import lag_trend, locf
+from kohorta.operators.temporal import active_in_window, lag_trend, locf
+from kohorta.session import materialize
 
 
 def treatment_flags(records: DataFrame, lookup: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -70,8 +71,8 @@ def values_and_trends(values: DataFrame, keys: Sequence[str], key: str, order: S
 
 
 def dated_features(matrix: DataFrame, patient: Sequence[str], order: Sequence[str], names: Sequence[str],
-                   parts: Sequence[tuple[DataFrame, Sequence[str]]], splits: int | None = None, verify: bool = True) -> DataFrame:
-    """Values per key carried forward, joined with feature tables of any grain, each checked for unique keys on demand."""
+                   parts: Sequence[tuple[DataFrame, Sequence[str]]], splits: int | None = None, verify: bool | str = "plan") -> DataFrame:
+    """Values per key carried forward, joined with feature tables of any grain, each checked for unique keys."""
     return join_star(locf(matrix, patient, order, names, splits), parts, verify)
 
 
@@ -84,3 +85,33 @@ def patient_features(dated: DataFrame, keys: Sequence[str], date: str, event: st
     early = dated.where(before_event(F.col(date), F.col(event)))
     summed = six_stat_summary(early, keys, [*clipped, *plain, *constants], [date], clip=list(clipped), splits=splits)
     return sanitize_columns(keep_constants(summed, constants))
+
+
+def encounter_features(values: DataFrame, members: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]], key: str,
+                       order: Sequence[str], date: str, value: str, names: Sequence[str], patient: str = "Patient_ID",
+                       encounter: str = "Encounter", splits: int | None = None) -> DataFrame:
+    """One row per patient, encounter and day of the cohort: mean values carried forward along the patient, trends,
+    active days of the trailing months, and the columns of ``parts`` (feature tables by encounter, day or patient).
+
+    ``values`` has one row per measurement and is read once; everything after it works on its days. ``members`` has one
+    row per patient of the cohort; patients outside of it have no row in the result.
+    """
+    ids = [patient, encounter, date]
+    known = values.join(members.select(patient).distinct(), patient, "left_semi")
+    matrix = materialize(values_and_trends(materialize(known), [patient], key, order, date, value, ids, names, splits))
+    active = active_in_window(matrix.select(patient, date), patient, date, "active")
+    dated = dated_features(matrix, [patient], [date, encounter], names, [(active, [patient, date]), *parts], splits)
+    return dated.join(refuse_doubled_keys(members, [patient]), patient)
+
+
+def encounter_patient_features(dated: DataFrame, keys: Sequence[str], date: str, event: str, clipped: Sequence[str],
+                               plain: Sequence[str], constants: Sequence[str], parts: Sequence[tuple[DataFrame, Sequence[str]]],
+                               encounter: str = "Encounter", splits: int | None = None) -> DataFrame:
+    """One row per patient: statistics of the dated columns before the event, and the patient's own columns.
+
+    Tables at the grain of the patient (``parts``) meet the one row of the summary instead of every day, where each of
+    their six statistics would be the same number. Of the days of one date the last encounter gives the last known value.
+    """
+    early = dated.where(before_event(F.col(date), F.col(event)))
+    summed = six_stat_summary(early, keys, [*clipped, *plain, *constants], [date, encounter], clip=list(clipped), splits=splits)
+    return sanitize_columns(join_star(keep_constants(summed, constants), parts, "plan"))

@@ -22,3 +22,15 @@ def test_pairs_meet_in_tiles(spark, tile):
     some = names.where("name < 'n05'")
     assert ordered_pairs(names, "name", some, tile).count() == 10
     assert ordered_pairs(names.limit(0), "name").collect() == []
+
+
+def test_star_checks_keys_while_joining(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    part = spark.createDataFrame([(1, 10), (3, 30), (None, 5), (None, 6)], "k int, w int")
+    got = join_star(base, [(part, ["k"])], "plan")
+    assert sorted((r.v, r.w) for r in got.collect()) == [("a", 10), ("b", None), ("c", None)]
+    two = spark.createDataFrame([(1, 1, 7), (1, 2, 8)], "k int, n int, x int")
+    assert join_star(base.withColumn("n", F.lit(2)), [(two, ["k", "n"])], "plan").where("x = 8").count() == 1
+    with pytest.raises(Exception, match=r'not unique in .*"k":1'):
+        join_star(base, [(two, ["k"])], "plan").collect()
+    assert join_star(base, [(part.limit(0), ["k"])], "plan").count() == 3

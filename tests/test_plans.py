@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from kohorta.operators.joins import within_after
@@ -50,3 +51,26 @@ def test_measurements_from_attribute_rows(spark):
     got = measurement_table(eav, ["Encounter", "rec", "sex"], limits).collect()
     assert len(got) == 1 and got[0].value == 42.0 and got[0].low == 40.0 and round(got[0].normalized, 9) == 0.2
     assert str(got[0].day) == "2019-10-03" and got[0].quarter == "4"
+
+
+def test_features_by_encounter_and_patient(spark):
+    values = spark.createDataFrame(
+        [("p", 1, "2020-01-01", "a", 1.0, 1), ("p", 1, "2020-01-01", "a", 3.0, 2), ("p", 2, "2020-01-03", "b", 5.0, 3),
+         ("p", 3, "2020-01-03", "a", 7.0, 4), ("p", 4, "2020-02-01", "a", 99.0, 5), ("x", 9, "2020-01-01", "a", 1.0, 6)],
+        "Patient_ID string, Encounter int, Date string, key string, value double, n int").withColumn("Date", F.to_date("Date"))
+    members = spark.createDataFrame([("p", True, "2020-02-01"), ("q", False, None)], "Patient_ID string, mk boolean, d1 string").withColumn("d1", F.to_date("d1"))
+    treated = spark.createDataFrame([("p", 2, 1), ("p", 8, 1)], "Patient_ID string, Encounter int, op int")
+    ages = spark.createDataFrame([("p", 0.4), ("q", 0.5)], "Patient_ID string, Age double")
+    dated = fe.encounter_features(values, members, [(treated, ["Patient_ID", "Encounter"])], "key", ["Date", "n"], "Date", "value", ["a", "b"])
+    got = {r.Encounter: r for r in dated.collect()}
+    assert sorted(got) == [1, 2, 3, 4]  # a patient outside of the cohort has no row
+    assert (got[1].a, got[1].b, got[1].op) == (2.0, None, None)
+    assert (got[2].a, got[2].b, got[2].op, got[2].trend_abs_b) == (2.0, 5.0, 1, 0.0)
+    assert (got[3].a, got[3].b, got[3].trend_abs_a, got[3].trend_a) == (7.0, 5.0, 4.0, 2.0)
+    assert [round(got[e].active * 365) for e in (1, 2, 3, 4)] == [1, 2, 2, 3]
+    one = fe.encounter_patient_features(dated, ["Patient_ID", "mk", "d1"], "Date", "d1", ["trend_abs_a"], ["a", "op"], [], [(ages, ["Patient_ID"])]).collect()
+    assert len(one) == 1 and one[0].a_max == 7.0 and one[0].a_lastKnown == 7.0 and one[0].op_max == 1 and one[0].Age == 0.4
+    assert one[0].trend_abs_a_min == 0.0 and one[0].trend_abs_a_max == 4.0
+    doubled = treated.union(treated)
+    with pytest.raises(Exception, match="not unique"):
+        fe.encounter_features(values, members, [(doubled, ["Patient_ID", "Encounter"])], "key", ["Date", "n"], "Date", "value", ["a"]).collect()
