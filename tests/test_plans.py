@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +77,28 @@ def test_features_by_encounter_and_patient(spark):
     doubled = treated.union(treated)
     with pytest.raises(Exception, match="not unique"):
         fe.encounter_features(values, members, [(doubled, ["Patient_ID", "Encounter"])], "key", ["Date", "n"], "Date", "value", ["a"]).collect()
+
+
+@pytest.mark.parametrize("literal", [False, True])
+def test_names_meet_the_dictionary_as_all_pairs_do(spark, literal):
+    draw = random.Random(5)
+    parts = ["Predni", "solon", "AZA", "thio", "prin", "mg", " 5", "ret", "Ä", "x", "İ", "Σ"]
+    names = sorted({"".join(draw.choices(parts, k=draw.randint(1, 5))) for _ in range(150)}) + ["", "a.b", "a+b", "(ret"]
+    known = sorted({"".join(draw.choices(parts, k=draw.randint(1, 3))) for _ in range(60)})
+    known += ["m", "5 ", "Ä"] + (["a.b", "(ret", "+"] if literal else
+                                 ["Pre.*lon", "predx?n", "(aza|thio)x", "[ps]o", "mg+", "so.?lo", r"a\+b", "^Σ", "x*", ".", "solonx?"])
+    known = [(i % 3, k) for i, k in enumerate(known)] + [(2, "Predni"), (None, "Predni"), (1, "")]
+
+    def hit(name, pattern):
+        return pattern.lower() in name.lower() if literal else re.search(pattern, name, re.IGNORECASE | re.ASCII | re.DOTALL) is not None
+    want = {n: min(r for r, k in known if r is not None and k and hit(n, k)) for n in names
+            if any(r is not None and k and hit(n, k) for r, k in known)}
+    left = spark.createDataFrame([(n,) for n in [*names, None]], "Drug string")
+    right = spark.createDataFrame(known, "rank int, known string")
+    for tile in (1, 1000):
+        out = me.mentioned_ranks(left, right, literal=literal, tile=tile)
+        assert {r.Drug: r["rank"] for r in out.collect()} == want
+        plan = out._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert me.mentioned_ranks(left.limit(0), right, literal=literal).collect() == []
+    assert me.mentioned_ranks(left, right.limit(0), literal=literal).collect() == []
