@@ -295,8 +295,10 @@ def feature_usage(coefficients: DataFrame, completeness: DataFrame, term: str =
 
 
 def patient_score_summary(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """Mean and spread of the scores, and whether the mean reaches each threshold. The last digits of a mean depend on the order of its
+    rows, so it is compared without them: a mean of exactly 0.8 reaches 0.8."""
     summed = df.groupBy(*keys).agg(F.avg(score).alias("avg_predicted"), F.stddev_samp(score).alias("sd_predicted"))
-    return summed.withColumns({n: F.col("avg_predicted") >= t for n, t in FLAG_THRESHOLDS.items()})
+    return summed.withColumns({n: F.round("avg_predicted", 12) >= t for n, t in FLAG_THRESHOLDS.items()})
 
 
 def drilldown(facts: dict[str, tuple[DataFrame, Column, Column, Column]], patient) -> DataFrame:
