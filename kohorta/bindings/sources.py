@@ -129,37 +129,41 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
               "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def token_stream(t):
-    """Tokens of every order in reading order: six header values, then per line item a lab record, a
+def token_pieces(t):
+    """Tokens of every order in reading order, a piece a row: six header values, then per line item a lab record, a
     junk token, a treatment record and another junk token."""
     head = t.orders.select(
         F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("encounter"), F.lit(0).cast("bigint").alias("piece"),
-        F.posexplode(F.array(
+        F.array(
             F.date_format("o_orderdate", "ddMMyyyy"), F.date_format(F.date_add("o_orderdate", 3), "ddMMyyyy"),
             F.lit("MNEURO"), F.lit("WARD"), F.when(F.col("o_orderstatus") == "F", "stat").otherwise("amb"),
-            F.col("o_orderpriority"))).alias("at", "value"))
+            F.col("o_orderpriority")).alias("value"))
     lines = number_rows(t.lineitem, ["l_orderkey"], LINE_ORDER, "piece").withColumnRenamed("l_orderkey", "o_orderkey")
     shipped = F.date_format("l_shipdate", "dMMyyyy")
     body = lines.join(t.orders.select("o_custkey", "o_orderkey"), "o_orderkey").select(
         F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("encounter"), "piece",
-        F.posexplode(F.array(
+        F.array(
             F.concat(F.lit("L_"), F.col("l_partkey").cast("string")), F.concat(F.lit("K"), (F.col("l_suppkey") % 7).cast("string")),
             F.col("l_quantity").cast("int").cast("string"), F.lit("mmol"), shipped, F.lit("000000"), F.lit("2951-2"),
             F.lit("1"), F.lit("40"), F.lit("x"), F.lit("OPS"), F.concat(F.lit("8-"), F.col("l_suppkey").cast("string")),
-            F.concat(F.lit("Treatment "), F.col("l_returnflag")), shipped, F.lit("0"), F.lit("y"))).alias("at", "value"))
+            F.concat(F.lit("Treatment "), F.col("l_returnflag")), shipped, F.lit("0"), F.lit("y")).alias("value"))
     return head.unionByName(body)
 
 
+def token_stream(t):
+    """The same, a token a row."""
+    return token_pieces(t).select("patient", "encounter", "piece", F.posexplode("value").alias("at", "value"))
+
+
 PIECE_TOKENS, HEAD_TOKENS = 16, 6
 
 
 def numbered_tokens(t):
-    """Tokens with dense positions, staged like any raw extract before it is cut into records. Every
+    """Pieces with the dense position of their first token, staged like any raw extract before it is cut into records. Every
     piece of the stream has a fixed number of tokens, so the position is arithmetic."""
-    pos = F.when(F.col("piece") == 0, F.col("at").cast("bigint")).otherwise(
-        HEAD_TOKENS + (F.col("piece") - 1) * PIECE_TOKENS + F.col("at"))
+    pos = F.when(F.col("piece") == 0, 0).otherwise(HEAD_TOKENS + (F.col("piece") - 1) * PIECE_TOKENS)
     path = scratch_path(t.spark, "tokens")
-    return stage(t.spark, path, lambda: token_stream(t).select("patient", "encounter", pos.alias("pos"), "value"))
+    return stage(t.spark, path, lambda: token_pieces(t).select("patient", "encounter", pos.alias("pos"), "value"))
 
 
 RECORDS_SQL = """
@@ -206,7 +210,7 @@ select o_custkey as patient, o_orderkey as encounter,
     case when o_orderstatus = 'F' then 'stat' else 'amb' end, o_orderpriority]) as value
 from orders""")
 def header_attributes_query(t):
-    return leading_attributes(token_stream(t), ["patient", "encounter"], ["piece", "at"])
+    return leading_attributes(token_pieces(t), ["patient", "encounter"], ["piece"])
 
 
 @query("treatment_records", """

@@ -49,19 +49,32 @@ def with_positions(tokens: DataFrame, keys: Sequence[str], order: Sequence[str])
     return numbered.withColumn("pos", F.col("__no") - 1).drop("__no")
 
 
+def _runs(tokens: DataFrame) -> DataFrame:
+    """Tokens as runs: ``value`` an array of tokens that follow each other, of one token where tokens came one a row."""
+    return tokens if dict(tokens.dtypes)["value"].startswith("array") else tokens.withColumn("value", F.array("value"))
+
+
 def _chunked(tokens: DataFrame, keys: Sequence[str], rules: Rules, size: int) -> DataFrame:
     """One row per chunk: its tokens and a look-ahead from the next chunk, how many are its own, and
     the places where a record could start, with the record's length."""
+    runs = _runs(tokens).where(F.size("value") > 0)
     home = F.expr(f"pos div {size}")
     ahead = (home > 0) & (F.col("pos") % size < rules.reach)
-    value = F.col("value")
-    token = F.struct(
-        F.col("pos"), value.alias("value"),
-        matches(value, rules.lab_head).alias("head"), is_zero(value).alias("zero"),
-        ((F.length(value) > rules.treatment_text_longer_than) & ~is_number(value)).alias("text"))
-    placed = tokens.select(*keys, F.explode(
-        F.when(ahead, F.array(home, home - 1)).otherwise(F.array(home))).alias("chunk"), token.alias("t"))
-    chunks = placed.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    touched = F.sequence(F.when(ahead, home - 1).otherwise(home), F.expr(f"(pos + size(value) - 1) div {size}"))
+    placed = runs.select(*keys, "pos", "value", F.explode(F.coalesce(touched, F.array(F.lit(None).cast("bigint")))).alias("chunk"))
+    # a run travels whole, cut to the chunk and its look-ahead; it is taken apart where the chunk is put together
+    low = F.greatest(F.col("chunk") * size - F.col("pos"), F.lit(0))
+    high = F.least((F.col("chunk") + 1) * size + rules.reach - F.col("pos"), F.size("value"))
+    cut = F.coalesce(F.slice("value", (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int")), F.col("value"))
+    placed = placed.select(*keys, "chunk", F.struct((F.col("pos") + F.coalesce(low, F.lit(0))).alias("pos"), cut.alias("values")).alias("t"))
+
+    def token(pos: Column, value: Column) -> Column:
+        return F.struct(
+            pos.alias("pos"), value.alias("value"),
+            matches(value, rules.lab_head).alias("head"), is_zero(value).alias("zero"),
+            ((F.length(value) > rules.treatment_text_longer_than) & ~is_number(value)).alias("text"))
+    every = F.flatten(F.transform("runs", lambda r: F.transform(r["values"], lambda v, i: token(r["pos"] + i, v))))
+    chunks = placed.groupBy(*keys, "chunk").agg(F.collect_list("t").alias("runs")).withColumn("ts", F.sort_array(every)).drop("runs")
     own = F.least(F.size("ts"), F.lit(size))
     margin = 0 if rules.allow_final else 1
 
@@ -123,11 +136,14 @@ def _entries(chunks: DataFrame, keys: Sequence[str], last_chunk: int, reach: int
 
 def segment_records(tokens: DataFrame, keys: Sequence[str], rules: Rules = Rules(), chunk_size: int = 1024,
                     fan: int = 1024) -> DataFrame:
-    """(keys, rec_no, rec_type, attr, seq, value) of every record found in ``tokens(keys, pos, value)``."""
+    """(keys, rec_no, rec_type, attr, seq, value) of every record found in ``tokens(keys, pos, value)``.
+
+    A row may hold an array of tokens that follow each other, ``pos`` being the place of the first: they travel together.
+    """
     if chunk_size < rules.reach:
         raise ValueError(f"chunk_size must be at least {rules.reach}")
     keys = list(keys)
-    last = tokens.agg(F.max("pos")).first()[0]
+    last = _runs(tokens).agg(F.max(F.col("pos") + F.size("value") - 1)).first()[0]
     chunks = _chunked(tokens, keys, rules, chunk_size)
     if last is not None and last >= chunk_size:
         chunks = materialize(chunks)
@@ -162,7 +178,16 @@ def header_attributes(tokens: DataFrame, keys: Sequence[str],
 
 def leading_attributes(tokens: DataFrame, keys: Sequence[str], order: Sequence[str],
                        names: Sequence[str] = HEADER_ATTRIBUTES) -> DataFrame:
-    """The same from tokens without positions: each task keeps the first few tokens of an encounter before the shuffle."""
+    """The same from tokens without positions: each task keeps the first few tokens of an encounter before the shuffle. With
+    arrays of tokens as values it keeps the first few arrays, cut, and their tokens count in the order of (order, place)."""
     labels = F.array(*[F.lit(n) for n in names])
-    first = top_rows(tokens, keys, [F.col(c) for c in order], len(names), "__place")
+    by = [F.col(c) for c in order]
+    if dict(tokens.dtypes)["value"].startswith("array"):
+        cut = tokens.where(F.size("value") > 0).withColumn("value", F.slice("value", 1, len(names)))
+        runs = top_rows(cut, keys, by, len(names)).groupBy(*keys).agg(F.collect_list(F.struct(*order, "value")).alias("__runs"))
+        every = F.flatten(F.transform("__runs", lambda r: F.transform(r["value"], lambda v, i: F.struct(
+            *[r[c].alias(c) for c in order], i.alias("__at"), v.alias("value")))))
+        return runs.select(*keys, F.posexplode(F.slice(F.sort_array(every), 1, len(names))).alias("__place", "t")).select(
+            *keys, F.get(labels, F.col("__place")).alias("attr"), F.col("t.value").alias("value"))
+    first = top_rows(tokens, keys, by, len(names), "__place")
     return first.select(*keys, F.get(labels, (F.col("__place") - 1).cast("int")).alias("attr"), "value")
