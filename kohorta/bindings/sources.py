@@ -150,11 +150,6 @@ def token_pieces(t):
     return head.unionByName(body)
 
 
-def token_stream(t):
-    """The same, a token a row."""
-    return token_pieces(t).select("patient", "encounter", "piece", F.posexplode("value").alias("at", "value"))
-
-
 PIECE_TOKENS, HEAD_TOKENS = 16, 6
 
 
@@ -189,11 +184,15 @@ def segment_records_query(t):
 def raw_extract_records(t):
     """From raw files to records: quoted lines of uneven width with decimal commas are written, read with filling,
     ordered by (column, row), and cut into records."""
-    keys, comma = ["patient", "encounter"], (F.col("piece") > 0) & (F.col("at") == 2)
-    tokens = token_stream(t).withColumn("value", F.when(comma, F.concat("value", F.lit(",5"))).otherwise(F.col("value")))
-    cells = F.transform(F.sort_array(F.collect_list(F.struct("piece", "at", "value"))), lambda x: F.concat(
+    keys = ["patient", "encounter"]
+    pieces = token_pieces(t).withColumn("value", F.transform("value", lambda v, i: F.when(
+        (F.col("piece") > 0) & (i == 2), F.concat(v, F.lit(",5"))).otherwise(v)))
+    runs = F.collect_list(F.struct("piece", "value"))
+    tokens = F.sort_array(F.flatten(F.transform(runs, lambda r: F.transform(r["value"], lambda v, i: F.struct(
+        r["piece"].alias("piece"), i.alias("at"), v.alias("value"))))))
+    cells = F.transform(tokens, lambda x: F.concat(
         F.lit('"'), F.replace(x["value"], F.lit('"'), F.lit('""')), F.lit('"')))
-    lines = tokens.groupBy(*keys).agg(F.array_join(cells, ",").alias("cells")).select(
+    lines = pieces.groupBy(*keys).agg(F.array_join(cells, ",").alias("cells")).select(
         F.concat_ws(",", *[F.col(k).cast("string") for k in keys], "cells").alias("line"))
     path = scratch_path(t.spark, "raw")
     lines.mapInPandas(lambda batches: _first_line("V1,V2", batches), "line string").write.text(path)
