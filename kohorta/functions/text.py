@@ -16,8 +16,8 @@ STRAY_LETTERS = "üä"
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 ZERO_PATTERN = r"^\s*[+-]?(0+\.?0*|\.0+)([eE][+-]?[0-9]+)?\s*$"
 
-# Edits that turn a measurement name into a key.
-KEY_EDITS = ((" ", "_"), ("_.37°.|_absolut", ""), ("°", ""), ("ö", "?"))
+# Edits that turn a measurement name into a key: letters for letters (or none), then a pattern, then letters again.
+KEY_BLANKS, KEY_UNITS, KEY_LETTERS = (" ", "_"), "_.37°.|_absolut", ("ö°", "?")
 
 # Text results of the ordinal measurement family.
 ORDINAL_CODES = {"negativ": "0", "positiv": "1", "stark positiv": "2"}
@@ -62,9 +62,9 @@ def any_regex(c: Column, patterns: Sequence[str], literal: bool = False) -> Colu
 
 
 def normalize_key(c: Column) -> Column:
-    for pattern, replacement in KEY_EDITS:
-        c = F.regexp_replace(c, pattern, replacement)
-    return c
+    """Single characters are translated: the optimizer repeats this expression in filters and joins, and an expression that is
+    a chain of patterns then costs more than reading the row."""
+    return F.translate(F.regexp_replace(F.translate(c, *KEY_BLANKS), KEY_UNITS, ""), *KEY_LETTERS)
 
 
 def is_number(c: Column) -> Column:
@@ -81,7 +81,7 @@ def to_number(c: Column) -> Column:
 
 def decimal_comma(c: Column) -> Column:
     """Number from text with a decimal comma or point; anything else is missing."""
-    return to_number(F.regexp_replace(c, ",", "."))
+    return to_number(F.translate(c, ",", "."))
 
 
 def ordinal_code(key: Column, value: Column, family: str = "Titin") -> Column:
