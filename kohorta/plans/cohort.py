@@ -101,9 +101,10 @@ def pre_event_records(records: DataFrame, events: DataFrame, cohort: DataFrame,
     ``records`` has Patient_ID, Encounter, seq, attr, value; ``events`` has Patient_ID, Encounter, date.
     """
     after = within_after(events, cohort, "Patient_ID", "date", event_columns, months, ["Encounter"])
-    marked = locf_marker(records, ["Patient_ID", "Encounter"], ["seq"], "attr", marker, "Encounter", "lab_ID")
-    kept = marked.join(after, "Encounter", "left_anti")
-    return kept.join(cohort.select("Patient_ID", "mk", "Gender"), "Patient_ID")
+    # encounters go whole, so they go before their rows are sorted for the record ids
+    kept = records.join(after, "Encounter", "left_anti")
+    marked = locf_marker(kept, ["Patient_ID", "Encounter"], ["seq"], "attr", marker, "Encounter", "lab_ID")
+    return marked.join(cohort.select("Patient_ID", "mk", "Gender"), "Patient_ID")
 
 
 def cohort_summary(members: DataFrame, scored: DataFrame, keys: Sequence[str]) -> DataFrame:
