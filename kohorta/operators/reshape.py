@@ -14,7 +14,8 @@ def pivot_attr(df: DataFrame, ids: Sequence[str], attr: str, value: str, names:
 
 
 def pivot_onehot(df: DataFrame, ids: Sequence[str], category: str, names: Sequence[str]) -> DataFrame:
-    return df.groupBy(*ids).pivot(category, list(names)).agg(F.max(F.lit(1))).na.fill(0, list(names))
+    """One aggregate by ``ids``: a pivot would first group by ids and category, and its map holds a row for either."""
+    return df.groupBy(*ids).agg(*[F.coalesce(F.max(F.when(F.col(category) == n, 1)), F.lit(0)).alias(n) for n in names])
 
 
 def pivot_share(df: DataFrame, ids: Sequence[str], category: str, share: str,
