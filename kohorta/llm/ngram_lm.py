@@ -32,9 +32,11 @@ END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0x2545F4914F6CDD1D)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Numbers as byte planes, compressed: sorted hashes and small counts become short."""
+    """Numbers as byte planes, each compressed by its own code: small numbers become short."""
     planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(1).compress(planes.tobytes())
+    out = zstandard.ZstdCompressor(1).compressobj(size=planes.size)
+    parts = [part for plane in planes for part in (out.compress(plane.tobytes()), out.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK))]
+    return b"".join([*parts, out.flush()])
 
 
 def _unpack(blob: bytes) -> np.ndarray:
@@ -42,6 +44,17 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps of their upper 56 bits beside the lowest byte: the denser the keys, the fewer bytes each."""
+    high = keys & ~np.uint64(255)
+    return _pack(np.diff(high, prepend=np.uint64(0)) | (keys & np.uint64(255)))
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    steps = _unpack(blob)
+    return np.cumsum(steps & ~np.uint64(255), dtype=np.uint64) | (steps & np.uint64(255))
+
+
 def _keyed(x: np.ndarray, order: int) -> np.ndarray:
     """The lowest two bits say the order, 0 for the mark before a text. Single words have hashes of 61 bits. Longer
     sequences, which are most, have 55 bits and lie in the upper half, so that their lowest byte costs nothing to send."""
@@ -110,13 +123,13 @@ def _send(bits, learn, held):
                 if a < b:
                     yield pa.RecordBatch.from_pydict(
                         {"bucket": pa.array([bucket], pa.int32()), "part": pa.array([part], pa.int32()),
-                         "seq": pa.array([seq], pa.int32()), "keys": [_pack(chunk.keys[a:b])],
+                         "seq": pa.array([seq], pa.int32()), "keys": [_pack_keys(chunk.keys[a:b])],
                          "learned": [_pack(learned[a:b])], "deleted": [_pack(deleted[a:b])]})
     return run
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    keys = [_unpack(x) for x in table.column("keys").to_pylist()]
+    keys = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
     known, place = np.unique(np.concatenate(keys), return_inverse=True)
     sizes = np.cumsum([0, *map(len, keys)])
     totals, back = [], []
@@ -126,7 +139,9 @@ def _add_up(table: pa.Table) -> pa.Table:
         for (a, b), blob in zip(spans, own):
             total[place[a:b]] += _unpack(blob).astype(np.int64)  # a chunk sends a key once
         totals.append(total)
-        back.append([_pack(total[place[a:b]] - _unpack(blob).astype(np.int64)) for (a, b), blob in zip(spans, own)])
+        mine = [_unpack(blob).astype(np.int64) for blob in own]
+        # only keys of held-out texts are asked for what others delete, and those a chunk deletes itself
+        back.append([_pack((total[place[a:b]] - x) * ((x > 0) if column == "deleted" else 1)) for (a, b), x in zip(spans, mine)])
     word = (known & np.uint64(3)) == 1
     facts = [int((totals[0][word] > 0).sum()), int(totals[0][word].sum()), int(totals[1][word].sum())]
     rest = [0] * (len(keys) - 1)

@@ -69,6 +69,32 @@ def test_lm_weights_raise_the_held_out_likelihood(spark):
     assert steps[0] <= steps[1] <= steps[2]
 
 
+def test_lm_keys_travel_as_steps():
+    """Keys of a chunk come back as they were, and cost little more than their steps, which the number of keys makes short."""
+    np = ngram_lm.np
+    hashes = np.random.default_rng(5).integers(0, 1 << 63, 600_000, dtype=np.uint64)
+    keys = np.unique(np.concatenate([ngram_lm._keyed(hashes[i::3], i + 1) for i in range(3)]))
+    cuts = np.concatenate([[0], np.searchsorted(keys, np.arange(1, 64, dtype=np.uint64) << np.uint64(58)), [len(keys)]])
+    blobs = [ngram_lm._pack_keys(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    assert np.array_equal(np.concatenate([ngram_lm._unpack_keys(b) for b in blobs]), keys)
+    old = sum(len(ngram_lm._pack(keys[a:b])) for a, b in zip(cuts[:-1], cuts[1:]))
+    assert sum(map(len, blobs)) < 0.95 * old
+    assert len(ngram_lm._unpack_keys(ngram_lm._pack_keys(keys[:0]))) == 0
+
+
+def test_lm_deleted_counts_return_where_they_are_read():
+    """Two chunks ask for one bucket: what the other deletes goes back for the keys that a chunk deletes itself."""
+    np, pa = ngram_lm.np, ngram_lm.pa
+    keys = np.sort(ngram_lm._keyed(np.arange(1, 5, dtype=np.uint64), 3))
+    counts = [([3, 1, 2, 0], [2, 0, 1, 0]), ([4, 5, 0, 6], [1, 2, 0, 3])]
+    sent = pa.table({"bucket": pa.array([0, 0], pa.int32()), "part": pa.array([0, 1], pa.int32()), "seq": pa.array([0, 0], pa.int32()),
+                     "keys": [ngram_lm._pack_keys(keys)] * 2,
+                     **{c: [ngram_lm._pack(np.array(x[i])) for x in counts] for i, c in enumerate(("learned", "deleted"))}})
+    back = ngram_lm._add_up(sent)
+    numbers = {c: [ngram_lm._unpack(b).tolist() for b in back.column(c).to_pylist()] for c in ("learned", "deleted")}
+    assert numbers == {"learned": [[4, 5, 0, 6], [3, 1, 2, 0]], "deleted": [[1, 0, 0, 0], [2, 0, 0, 0]]}
+
+
 def test_lm_of_nothing(nothing):
     assert ngram_lm.interpolated_scores(nothing).collect() == []
 
