@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohorta.llm.text import GOLDEN, file_system, mixed, narrow, slices, stage, word_hashes
+from kohorta.llm.text import GOLDEN, distinct_keys, file_system, mixed, narrow, slices, stage, word_hashes
 from kohorta.session import scratch_path
 
 CHUNK_BYTES, BUCKET_BYTES, ITERATIONS, FREQUENCIES, STEPS = 4_000_000, 4_000_000, 15, 24, 4
@@ -83,7 +83,7 @@ class Chunk:
             pairs, begin = mixed(tokens + GOLDEN * one), np.array([BEGIN])
             keys = np.concatenate([_keyed(tokens, 1), _keyed(pairs, 2), _keyed(tokens * GOLDEN + context, 3),
                                    _keyed(begin, 0), _keyed(mixed(begin + GOLDEN * begin), 2)])
-        self.keys, place = np.unique(keys, return_inverse=True)
+        self.keys, place = distinct_keys(keys)
         self.uni, self.bi, self.tri = place[:n], place[n: 2 * n], place[2 * n: 3 * n]
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         before = np.concatenate([[0], self.uni[:-1]])
@@ -130,7 +130,7 @@ def _send(bits, learn, held):
 
 def _add_up(table: pa.Table) -> pa.Table:
     keys = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
-    known, place = np.unique(np.concatenate(keys), return_inverse=True)
+    known, place = distinct_keys(np.concatenate(keys))
     sizes = np.cumsum([0, *map(len, keys)])
     totals, back = [], []
     spans = list(zip(sizes[:-1], sizes[1:]))

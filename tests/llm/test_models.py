@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -95,6 +97,48 @@ def test_lm_deleted_counts_return_where_they_are_read():
     assert numbers == {"learned": [[4, 5, 0, 6], [3, 1, 2, 0]], "deleted": [[1, 0, 0, 0], [2, 0, 0, 0]]}
 
 
+def test_words_are_hashed_as_split(texts):
+    """Equal hashes are equal words, text by text, also in a slice, with missing texts and texts that touch."""
+    np, pa = ngram_lm.np, ngram_lm.pa
+    given = [None, "skipped", "ab", "cd ab", "", None, "\x0bAB\tcd\x85x ", " ", "w" * 7, "w" * 8, "w" * 9, "w" * 64, "w" * 65, "W" * 65 + " a\x00 a",
+             *[t for _, t in texts], None, ""]
+    rows = pa.array(given)[2:]
+    hashes, starts = ngram_lm.word_hashes(rows)
+    words = [(t or "").encode().lower().split() for t in given[2:]]
+    assert starts.tolist() == np.cumsum([0, *map(len, words)]).tolist()
+    flat = [w for own in words for w in own]
+    assert len(set(zip(hashes.tolist(), flat))) == len(set(flat)) == len(set(hashes.tolist()))
+    for none in ([], [None], ["", " "]):
+        assert [x.tolist() for x in ngram_lm.word_hashes(pa.array(none, pa.string()))] == [[], [0] * (len(none) + 1)]
+
+
+def test_distinct_keys_are_those_of_a_full_sort():
+    np = ngram_lm.np
+    rng = np.random.default_rng(1)
+    top = np.uint64((1 << 64) - 1)
+    for keys in (rng.integers(0, 1 << 63, 5_000, dtype=np.uint64), rng.integers(0, 50, 5_000, dtype=np.uint64), np.zeros(3, np.uint64),
+                 (rng.integers(0, 4, 5_000, dtype=np.uint64) << np.uint64(62)) + rng.integers(0, 900, 5_000, dtype=np.uint64),
+                 top - rng.integers(0, 9, 700, dtype=np.uint64), np.array([0, top, 0], np.uint64), np.array([7], np.uint64), np.zeros(0, np.uint64)):
+        for got, want in zip(ngram_lm.distinct_keys(keys), np.unique(keys, return_inverse=True)):
+            assert np.array_equal(got, want)
+
+
+def test_lm_chunks_cost_less_than_a_loop_over_words():
+    """CPU seconds: making a chunk, hashes and sequences, takes less than hashing its words one by one, twice."""
+    rng = random.Random(3)
+    text = " ".join("%x" % rng.randrange(1 << rng.randrange(4, 40)) for _ in range(200_000))
+
+    def seconds(work):
+        spent = []
+        for _ in range(3):
+            start = time.process_time()
+            work()
+            spent.append(time.process_time() - start)
+        return min(spent)
+    loop = seconds(lambda: ngram_lm.np.fromiter(map(ngram_lm.xxhash.xxh3_64_intdigest, text.encode().lower().split()), "u8"))
+    assert seconds(lambda: ngram_lm.Chunk(ngram_lm.pa.array([text]))) < 2 * loop
+
+
 def test_lm_of_nothing(nothing):
     assert ngram_lm.interpolated_scores(nothing).collect() == []
 
