@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kohorta.session import passing_shuffles
+
 
 def sink_csv(df: DataFrame, path: str, encoding: str = "UTF-8", sep: str = ",") -> None:
     df.write.mode("errorifexists").option("header", True).option("encoding", encoding).option(
@@ -24,5 +26,7 @@ def _complete(spark: SparkSession, path: str) -> bool:
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Reload a stage that was written completely before, else compute and write it."""
     if not _complete(spark, path):
-        build().write.mode("overwrite").parquet(path)
+        rows = build()
+        with passing_shuffles(spark):
+            rows.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
