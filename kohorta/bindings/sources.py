@@ -12,7 +12,7 @@ from kohorta.bindings.registry import query
 from kohorta.operators.ordered import number_rows
 from kohorta.operators.reshape import eav_to_record
 from kohorta.operators.segment import TREATMENT_ATTRIBUTES, leading_attributes, segment_records, with_positions
-from kohorta.session import scratch_path
+from kohorta.session import drop_scratch, passing_shuffles, scratch_path
 from kohorta.sources.readers import scan_catalog, scan_csv_typed, scan_fixed_width, scan_ragged_csv, union_extracts
 from kohorta.sources.sinks import sink_csv, stage
 
@@ -195,10 +195,12 @@ def raw_extract_records(t):
     lines = pieces.groupBy(*keys).agg(F.array_join(cells, ",").alias("cells")).select(
         F.concat_ws(",", *[F.col(k).cast("string") for k in keys], "cells").alias("line"))
     path = scratch_path(t.spark, "raw")
-    lines.mapInPandas(lambda batches: _first_line("V1,V2", batches), "line string").write.text(path)
-    read = scan_ragged_csv(t.spark, path, skip=1, keys=keys, fill=True).where("value is not null")
+    with passing_shuffles(t.spark):
+        lines.mapInPandas(lambda batches: _first_line("V1,V2", batches), "line string").write.text(path, compression="gzip")
+    read = scan_ragged_csv(t.spark, path, skip=1, keys=keys, fill=True, runs=True)  # cells that only fill get no position
     placed = stage(t.spark, scratch_path(t.spark, "raw-tokens"), lambda: with_positions(read, keys, ["col_pos", "row_pos"]).select(
         *[F.col(k).cast("bigint").alias(k) for k in keys], "pos", "value"))
+    drop_scratch(t.spark, path)
     return segment_records(placed, keys)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import chain
-from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohorta.session import drop_scratch, passing_shuffles, scratch_path
+from kohorta.session import drop_stages, stage
 
 #: Bytes of text handled at once inside a task; one longer text is still handled whole.
 SLICE_BYTES = 4_000_000
@@ -29,9 +28,6 @@ FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: ASCII letters and digits stay (letters lower-cased), other ASCII becomes a blank, the rest of Unicode stays.
 ALNUM = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
 
-#: Where the stages in use were written.
-_places: WeakKeyDictionary = WeakKeyDictionary()
-
 
 def picked(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns of exactly these names, the first of each: other columns never reach an operator, whatever
@@ -50,22 +46,6 @@ def placed(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, label)
-    with passing_shuffles(df.sparkSession):
-        df.write.parquet(path)
-    rows = df.sparkSession.read.schema(df.schema).parquet(path)
-    _places[rows] = path
-    return rows
-
-
-def drop_stages(*stages: DataFrame) -> None:
-    """Remove what ``stage`` wrote, after its last reader."""
-    for rows in stages:
-        drop_scratch(rows.sparkSession, _places.pop(rows))
-
-
 def filled(texts: pa.Array) -> pa.Array:
     """Missing texts as empty ones, in the type with 64-bit offsets."""
     return pc.fill_null(texts.cast(pa.large_string()), "")

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kohorta.functions.text import is_number, is_zero, matches
-from kohorta.operators.ordered import number_rows, top_rows
-from kohorta.session import materialize
+from kohorta.operators.ordered import join_null_safe, number_rows, top_rows
+from kohorta.session import checked_broadcast, materialize
 
 # Attribute names of the three kinds of content.
 LAB_ATTRIBUTES = ("LeistID", "Kat", "Value", "Unit", "Date", "Time", "LOINC", "range_low", "range_high")
@@ -44,14 +44,36 @@ class Rules:
 
 
 def with_positions(tokens: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Dense 0-based positions within an encounter."""
+    """Dense 0-based positions within an encounter.
+
+    Where ``value`` is an array of tokens that follow each other, the first column of ``order`` is the place of the first one, and missing
+    tokens have no position. The array of an encounter that has no other stays one row and need not be moved; the tokens of
+    all others are numbered one by one.
+    """
+    if _holds_runs(tokens):
+        at = order[0]
+        several = materialize(tokens.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*keys))
+        shared, alone = None, tokens
+        if not several.isEmpty():
+            several = checked_broadcast(several)
+            shared, alone = (join_null_safe(tokens, several, keys, how) for how in ("left_semi", "left_anti"))
+        alone = alone.withColumns({"value": F.filter("value", lambda v: v.isNotNull()), "pos": F.lit(0).cast("bigint")})
+        if shared is None:
+            return alone
+        cells = shared.select(*[c for c in tokens.columns if c != "value"], F.posexplode("value").alias("__at", "value")).where(
+            "value is not null").withColumn(at, F.col(at) + F.col("__at")).drop("__at")
+        return alone.unionByName(with_positions(cells, keys, order).withColumn("value", F.array("value")))
     numbered = number_rows(tokens, keys, order, "__no")
     return numbered.withColumn("pos", F.col("__no") - 1).drop("__no")
 
 
+def _holds_runs(tokens: DataFrame) -> bool:
+    return dict(tokens.dtypes)["value"].startswith("array")
+
+
 def _runs(tokens: DataFrame) -> DataFrame:
     """Tokens as runs: ``value`` an array of tokens that follow each other, of one token where tokens came one a row."""
-    return tokens if dict(tokens.dtypes)["value"].startswith("array") else tokens.withColumn("value", F.array("value"))
+    return tokens if _holds_runs(tokens) else tokens.withColumn("value", F.array("value"))
 
 
 def _chunked(tokens: DataFrame, keys: Sequence[str], rules: Rules, size: int) -> DataFrame:

@@ -145,11 +145,12 @@ def split_cells(line: Column, sep: str = ",", quote: str = '"') -> Column:
 
 def scan_ragged_csv(spark: SparkSession, path: str | list[str], skip: int = 1, n_keys: int = 2,
                     keys: list[str] | None = None, sep: str = ",", encoding: str = "UTF-8",
-                    fill: bool = True) -> DataFrame:
+                    fill: bool = True, runs: bool = False) -> DataFrame:
     """Headerless CSV lines of varying width as ordered cells (keys, col_pos, row_pos, value).
 
     ``fill`` pads every line to the widest line of its file. Within the same keys the reading
-    order is (col_pos, row_pos): columns are stacked. Cells may be quoted; ``sep`` is literal text.
+    order is (col_pos, row_pos): columns are stacked. Cells may be quoted; ``sep`` is literal text. With ``runs`` a line stays one
+    row: ``value`` is the array of its cells, ``col_pos`` the place of the first.
     """
     keys = keys or [f"V{i + 1}" for i in range(n_keys)]
     lines = read_lines(spark, path, skip, encoding).select(
@@ -160,6 +161,8 @@ def scan_ragged_csv(spark: SparkSession, path: str | list[str], skip: int = 1, n
             F.lit(None).cast("string"), F.col("widest") - F.size("cells"))))
     heads = [F.trim(F.get("cells", F.lit(i))).alias(k) for i, k in enumerate(keys)]
     tokens = F.slice("cells", n_keys + 1, F.greatest(F.size("cells") - n_keys, F.lit(0)))
+    if runs:
+        return lines.select(*heads, "row_pos", F.lit(0).alias("col_pos"), tokens.alias("value"))
     return lines.select(*heads, "row_pos", F.posexplode(tokens).alias("col_pos", "value"))
 
 

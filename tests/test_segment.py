@@ -77,3 +77,18 @@ def test_header_and_positions(spark):
                         ["col_pos", "row_pos"])
     got = {r.attr: r.value for r in header_attributes(df, ["e"]).collect()}
     assert got == dict(zip(HEADER_ATTRIBUTES, ["00", "01", "10", "11", "20", "21"]))
+
+
+def test_arrays_of_tokens_are_numbered_as_single_ones(spark):
+    """Lines as arrays get the positions of their cells; the line of an encounter that has no other stays one row."""
+    lines = [("a", 0, ["x", None, "y", "z"]), ("b", 0, ["1", "2", None]), ("b", 1, ["3", None, "4"]), (None, 0, ["n"]),
+             (None, 1, ["m"]), ("c", 2, []), ("d", 3, [None])]
+    runs = spark.createDataFrame([(e, r, 0, v) for e, r, v in lines], "e string, row_pos int, col_pos int, value array<string>")
+    single = spark.createDataFrame([(e, r, i, x) for e, r, v in lines for i, x in enumerate(v) if x is not None],
+                                   "e string, row_pos int, col_pos int, value string")
+    order = ["col_pos", "row_pos"]
+    expected = {(r.e, r.pos, r.value) for r in with_positions(single, ["e"], order).collect()}
+    got = with_positions(runs, ["e"], order).collect()
+    assert {(r.e, r.pos + i, x) for r in got for i, x in enumerate(r.value)} == expected
+    assert sum(len(r.value) for r in got) == len(expected)
+    assert [r.value for r in got if r.e == "a"] == [["x", "y", "z"]]
