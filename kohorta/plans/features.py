@@ -12,10 +12,10 @@ from kohorta.functions.dates import before_event, parse_dmy
 from kohorta.functions.text import concat_path
 from kohorta.operators.aggregates import keep_constants, ratio_to_total, six_stat_summary
 from kohorta.operators.joins import join_lookup, join_star, refuse_doubled_keys
-from kohorta.operators.ordered import running_sums
+from kohorta.operators.ordered import join_null_safe, running_sums
 from kohorta.operators.reshape import pivot_attr, pivot_multi, pivot_onehot, pivot_share
 from kohorta.operators.temporal import active_in_window, lag_trend, locf
-from kohorta.session import materialize
+from kohorta.session import drop_stages, stage
 
 
 def treatment_flags(records: DataFrame, lookup: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -105,14 +105,25 @@ def encounter_matrix(values: DataFrame, members: DataFrame, key: str, order: Seq
     """The measurements of the cohort by patient, encounter and day: mean values and trends, written once."""
     ids = [patient, encounter, date]
     known = values.join(members.select(patient).distinct(), patient, "left_semi")
-    return materialize(values_and_trends(materialize(known), [patient], key, order, date, value, ids, names, splits))
+    known = stage(known, "encounter-values")
+    matrix = stage(values_and_trends(known, [patient], key, order, date, value, ids, names, splits), "encounter-matrix")
+    drop_stages(known)
+    return matrix
 
 
 def encounter_days(matrix: DataFrame, members: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]], date: str, names: Sequence[str],
                    patient: str = "Patient_ID", encounter: str = "Encounter", splits: int | None = None) -> DataFrame:
-    """``encounter_features`` from its matrix. No join adds rows, so a patient has at most the rows of the matrix."""
+    """``encounter_features`` from its matrix. No join adds rows, so a patient has at most the rows of the matrix.
+
+    Tables finer than a patient meet the keys of the matrix alone, so that its wide rows are not dealt out for each of them. They are
+    put beside the matrix in a written step; the joins by patient find its rows where carrying forward needs them.
+    """
+    ids = [patient, encounter, date]
     active = active_in_window(matrix.select(patient, date), patient, date, "active")
-    dated = dated_features(matrix, [patient], [date, encounter], names, [(active, [patient, date]), *parts], splits)
+    fine = [(active, [patient, date]), *[p for p in parts if list(p[1]) != [patient]]]
+    sides = join_star(matrix.select(*ids), fine, "plan")
+    wide = stage(join_null_safe(matrix, sides, ids), "encounter-days")
+    dated = dated_features(wide, [patient], [date, encounter], names, [p for p in parts if list(p[1]) == [patient]], splits)
     return dated.join(refuse_doubled_keys(members, [patient]), patient)
 
 
